@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import curriculum, lines, minhash, pieces, quality
+from loomtext.llm import chat, curriculum, imatch, licenses, lines, minhash, pieces, quality, rollups, warc
 
-_MODULES = (minhash, curriculum, quality, pieces, lines)
+_MODULES = (minhash, licenses, chat, imatch, rollups, curriculum, warc, quality, pieces, lines)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
