@@ -6,6 +6,7 @@ lower-casing; so text outside ASCII counts as letters. Nulls are read as empty t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes, to bound a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _WORD = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -25,6 +26,16 @@ _power = np.ones(1, np.uint64)
 _unpower = np.ones(1, np.uint64)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers are kept between stages, and count for their executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about limit bytes; a longer text is a range of its own."""
     if not len(texts):
@@ -36,6 +47,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
         yield start, stop
         start = stop
+    tidy()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +82,7 @@ def mix_int(x: int) -> int:
 def _powers(n: int) -> None:
     global _power, _unpower
     if len(_power) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("_power", _BASE), ("_unpower", _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

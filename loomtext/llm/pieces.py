@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weights are probabilities to this power: under 1 flattens, over 1 sharpens, 0 makes all segmentations alike.
 ALPHA = 0.5
 SEED = 20240601
-SLICE = 3 << 20
+SLICE = 1 << 20
 MARK = "▁"
 
 
@@ -79,21 +79,56 @@ class Pieces:
                     ends.append(-1)
                 at = to
             ends[at] = i
-        used = sorted({b for n in nodes for b in n})
-        #: Bytes that no piece has share class 0; node 0, the root, has no way in and stands for "no piece".
-        self.kind = np.zeros(256, np.int64)
-        self.kind[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        self.next = np.zeros(len(nodes) * self.width, np.int32)
-        for n, ways in enumerate(nodes):
-            for b, to in ways.items():
-                self.next[n * self.width + self.kind[b]] = to
-        self.ends = np.array(ends, np.int32)
+        self._place(nodes, ends)
         self.lengths = np.array([len(t) for t in self.text], np.int64)
         self.offsets = np.r_[0, np.cumsum(self.lengths)]
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
 
 
+    def _place(self, nodes: list[dict[int, int]], ends: list[int]) -> None:
+        """The trie as a double array: the way from state s by byte b leads to t = base[s] + b, if parent[t] is s.
+
+        The root is state 0. Two integers a state, where a table of all bytes would need 50 MB
+        in every Python worker.
+        """
+        room = 2 * len(nodes) + (1 << 17)
+        taken = np.zeros(room, bool)
+        taken[0] = True
+        place = np.zeros(len(nodes), np.int64)
+        base_of = np.zeros(len(nodes), np.int64)
+        # Wide nodes first, looking back a little for room; single ways then fill the gaps.
+        last = 256
+        for n in sorted((n for n, ways in enumerate(nodes) if len(ways) > 1), key=lambda n: -len(nodes[n])):
+            codes = np.fromiter(nodes[n], np.int64, len(nodes[n]))
+            at = max(last - 1024, 256)
+            while True:
+                good = ~taken[np.arange(at, at + 1024)[:, None] + codes].any(1)
+                if good.any():
+                    break
+                at += 1024
+            base_of[n] = last = at + int(good.argmax())
+            taken[last + codes] = True
+            place[list(nodes[n].values())] = last + codes
+        single = [n for n, ways in enumerate(nodes) if len(ways) == 1]
+        slots = np.flatnonzero(~taken)
+        slots = slots[slots >= 256][: len(single)]
+        taken[slots] = True
+        base_of[single] = slots - [next(iter(nodes[n])) for n in single]
+        place[[next(iter(nodes[n].values())) for n in single]] = slots
+        size = int(np.flatnonzero(taken)[-1]) + 257
+        self.base, self.parent, self.ends = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        self.base[place] = base_of
+        self.ends[place] = ends
+        for n, ways in enumerate(nodes):
+            for to in ways.values():
+                self.parent[place[to]] = place[n]
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """States one byte on; 0, the root, where no piece goes on so."""
+        to = self.base[state] + byte.astype(np.int32)
+        return np.where(self.parent[to] == state, to, 0)
+
+
 @lru_cache(2)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -134,11 +169,11 @@ class Lattice:
         wide = 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
         spelled = np.zeros(len(at), bool)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        active, node, left = np.arange(len(at)), np.zeros(len(at), np.int64), self.length[word] - place
+        active, node, left = np.arange(len(at)), np.zeros(len(at), np.int32), self.length[word] - place
         source = starts[word] + place
         step = 0
         while len(active):
-            node = pieces.next[node * pieces.width + pieces.kind[buf[source[active] + step]]].astype(np.int64)
+            node = pieces.step(node, buf[source[active] + step])
             step += 1
             on = node > 0
             active, node = active[on], node[on]
