@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import content_key, join_checked, materialise, table
+from loomtext.llm.shared import content_key, join_checked, materialise, own_names, table
 
 MAX_EPOCHS = 4
 SEED = "curriculum"
@@ -89,6 +89,7 @@ def positions(docs: DataFrame, schedule: DataFrame | None = None, budget: float
     return here.select("doc_id", "source", "content", "epoch", F.round(F.least(F.col("t0") + x, F.col("t1")), 9).alias("position"))
 
 
+@own_names
 def mixed(docs: DataFrame, schedule: DataFrame | None = None, budget: float | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of docs, all columns unchanged, range-sorted by training position, once for each epoch they are placed in."""
     at = positions(docs, schedule, budget, max_epochs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("content").alias("__content"), F.col("epoch").alias("__epoch"), F.col("position").alias("__position"))

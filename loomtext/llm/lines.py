@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import kernels as K
-from loomtext.llm.shared import content_key, join_checked, materialise, table
+from loomtext.llm.shared import content_key, join_checked, materialise, own_names, table
 
 #: A line ends a chunk with chance 1 / DIVISOR, if the chunk has LEAST_LINES by then.
 DIVISOR = 2
@@ -109,8 +109,6 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _located(batch, True)
 
 
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, content, removed): the chunk numbers, from 0, that go from each document that loses any.
 
@@ -165,6 +163,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     return _cleaned(docs.select("doc_id", "text")).select(F.col("__doc").alias("doc_id"), F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).alias("removed_chunks"), "text")
 
 
+@own_names
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs after line_dedup: changed texts, and n_chars with them where docs has it; all other columns as they are.
 

@@ -15,6 +15,7 @@ decoding gives back every text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -322,20 +323,19 @@ def decode(ids: pa.Array, path: str = MODEL) -> pa.Array:
 
 
 def _coder(path: str, alpha: float, seed: int):
-    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        found = []
-        for i, j in K.slices(texts, SLICE):
-            part = texts.slice(i, j - i)
-            ids = encode(part, keys.slice(i, j - i), path, alpha, seed)
-            same = pc.equal(decode(ids, path), part)
-            found.append(pa.StructArray.from_arrays([ids, pc.list_value_length(ids), same], ["ids", "n", "lossless"]))
-        empty = pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("n", pa.int32()), ("lossless", pa.bool_())]))
-        return pa.concat_arrays(found) if found else empty
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch out for each slice, so that the ids of a whole batch are never held at once.
+        for batch in batches:
+            for i, j in K.slices(batch.column(2), SLICE):
+                part = batch.slice(i, j - i)
+                ids = encode(part.column(2), part.column(0), path, alpha, seed)
+                same = pc.equal(decode(ids, path), part.column(2))
+                yield pa.record_batch([part.column(0), part.column(1), ids, pc.list_value_length(ids), same], ["doc_id", "source", "ids", "n_pieces", "lossless"])
 
     return run
 
 
-CODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
+CODED = "doc_id long, source string, ids array<int>, n_pieces int, lossless boolean"
 
 
 def encoded(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -347,8 +347,8 @@ def encoded(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int
     column source it is null.
     """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    coded = F.arrow_udf(_coder(path, alpha, seed), CODED)(F.col("text").cast("string"), F.col("doc_id").cast("long"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), coded.alias("coded")).select("doc_id", "source", "coded.ids", F.col("coded.n").alias("n_pieces"), "coded.lossless")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(_coder(path, alpha, seed), CODED)
 
 
 def decoded(coded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
@@ -45,3 +49,15 @@ def join_checked(big: DataFrame, side: DataFrame, on: Column | list[str], how: s
 def content_key(text: Column) -> Column:
     """64 bits of a text's MD5: equal texts share it; null for a null text."""
     return F.when(text.isNotNull(), F.xxhash64(F.md5(text)))
+
+
+def own_names(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Renames columns of docs that begin with two underscores while step, whose own they might be, is at work."""
+
+    @wraps(step)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        hidden = {c: f"{'kept ' * (1 + max(x.count('kept ') for x in docs.columns))}{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        back = {v: k for k, v in hidden.items()}
+        return step(docs.withColumnsRenamed(hidden), *args, **more).withColumnsRenamed(back)
+
+    return run
