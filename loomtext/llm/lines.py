@@ -1,18 +1,22 @@
-"""Repeated multi-line chunks (operator 10).
+"""Repeated runs of lines (operator 10).
 
-A document's lines are hashed; a hash rolled over the hashes of two lines on end decides
-whether a chunk may end after a line, so boundaries depend on the lines near by and not
-on what stands before them. Chunks have two lines or more. Of each chunk that occurs more
-than once in the corpus, byte for byte, only the first occurrence stays.
+A run of two lines or more is shared, byte for byte, exactly if each two lines on end in it
+are. So all pairs of neighbouring lines are hashed, those whose hash occurs twice are
+compared by their bytes, and of each pair only the first occurrence in the corpus stays; a
+line goes if a pair goes that it belongs to. The first occurrence of every line stays.
+
+line_dedup() compares whole chunks instead: a hash rolled over two lines on end decides
+whether a chunk may end after a line. It keeps the edges of shared runs, and short runs
+that hold no whole chunk; the query and the pipeline don't use it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,18 +142,77 @@ def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _without_column(text: Column, removed: Column) -> Column:
-    return F.arrow_udf(_without, T.StringType())(text, removed)
+def _pairs(batch: pa.RecordBatch, bodies: bool) -> Iterator[pa.RecordBatch]:
+    for i, j in K.slices(batch.column(2)):
+        part = batch.slice(i, j - i)
+        buf, off = K.raw(part.column(2))
+        starts, ends, per = _lines(buf, off)
+        owner = np.repeat(np.arange(len(per)), per)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        ink = np.r_[0, np.cumsum(buf > 32, dtype=np.int64)]
+        # Two blank lines always stay.
+        use = np.flatnonzero(owner[1:] == owner[:-1])
+        use = use[ink[ends[use + 1]] > ink[starts[use]]]
+        take = pa.array(owner[use])
+        columns = [pa.array(K.span_hashes(buf, starts[use], ends[use + 1]).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(place[use], pa.int32())]
+        names = ["chunk", "doc_id", "content", "at"]
+        if bodies:
+            data = buf.tobytes()
+            columns.append(pa.array([data[a:b] for a, b in zip(starts[use].tolist(), ends[use + 1].tolist())], pa.binary()))
+            names.append("body")
+        yield pa.record_batch(columns, names)
+
+
+def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _pairs(batch, False)
+
+
+def _pair_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _pairs(batch, True)
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, removed): the line numbers, from 0, that go from each document that loses any.
+
+    Of each pair of neighbouring lines the occurrence of the least doc_id (null last),
+    content key and line number stays. Where a pair of equal lines overlaps its own first
+    occurrence, the line they share stays.
+    """
+    slim = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("content"), F.col("text").cast("string").alias("text"))
+    parts = {"no_id": F.col("doc_id").isNull().cast("int"), "id": F.coalesce("doc_id", F.lit(0)), "content": F.col("content"), "at": F.col("at")}
+    ends = [f(x).alias(f"{k}_{n}") for k, x in parts.items() for n, f in (("min", F.min), ("max", F.max))]
+    spread = slim.mapInArrow(_pair_hashes, "chunk long, doc_id long, content long, at int").groupBy("chunk").agg(*ends)
+    again = materialise(spread.where(" OR ".join(f"{k}_min != {k}_max" for k in parts)).select("chunk"))
+    shown = slim.mapInArrow(_pair_bodies, "chunk long, doc_id long, content long, at int, body binary")
+    same = Window.partitionBy("chunk", "body").orderBy(F.col("doc_id").asc_nulls_last(), "content", "at")
+    ranked = join_checked(shown, again, ["chunk"], "left_semi", 8).withColumn("rank", F.dense_rank().over(same)).withColumn("first", F.first(F.struct("doc_id", "content", "at")).over(same)).where("rank > 1")
+    overlaps = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.content") == F.col("content")) & (F.col("first.at") + 1 == F.col("at"))
+    gone = F.when(overlaps, F.array(F.col("at") + 1)).otherwise(F.array("at", F.col("at") + 1))
+    return ranked.select("doc_id", "content", F.explode(gone).alias("line")).groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
-    """docs with __doc, __key and __removed, and the text without its removed chunks."""
-    found = materialise(repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("removed").alias("__removed")))
+def _without_lines(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    out: list[str | None] = []
+    for i, j in K.slices(texts):
+        part = texts.slice(i, j - i)
+        buf, off = K.raw(part)
+        data = buf.tobytes()
+        for r, gone in enumerate(removed.slice(i, j - i).to_pylist()):
+            gone = set(gone or ())
+            out.append(b"\n".join(x for k, x in enumerate(data[off[r] : off[r + 1]].split(b"\n")) if k not in gone).decode())
+    return pa.array(out, pa.string())
+
+
+def _cleaned(docs: DataFrame, repeated: Callable[[DataFrame], DataFrame], without: Callable[[pa.Array, pa.Array], pa.Array]) -> DataFrame:
+    """docs with __doc, __key and __removed, and the text without what repeated() found."""
+    found = materialise(repeated(docs).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("removed").alias("__removed")))
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": content_key(F.col("text"))})
     on = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__content"))
     joined = join_checked(keyed, found, on, "left", 64)
     some = joined.where("__removed IS NOT NULL")
-    return joined.where("__removed IS NULL").unionByName(some.withColumn("text", _without_column(F.col("text"), F.col("__removed"))))
+    return joined.where("__removed IS NULL").unionByName(some.withColumn("text", F.arrow_udf(without, T.StringType())(F.col("text"), F.col("__removed"))))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -160,23 +223,34 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     as one document and all get its result. An empty table gives no rows. Columns besides
     doc_id and text are not read.
     """
-    return _cleaned(docs.select("doc_id", "text")).select(F.col("__doc").alias("doc_id"), F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).alias("removed_chunks"), "text")
+    return _cleaned(docs.select("doc_id", "text"), repeated_chunks, _without).select(F.col("__doc").alias("doc_id"), F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).alias("removed_chunks"), "text")
+
+
+def run_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, removed_chunks, text) of every row, text without the runs of lines that stand elsewhere.
+
+    removed_chunks counts the runs of lines on end that went. Null, empty and one-line
+    texts, repeated rows, documents of which nothing is left and empty tables are as in
+    line_dedup.
+    """
+    starts = F.filter("__removed", lambda x, i: (i == 0) | (F.get("__removed", i - 1) != x - 1))
+    return _cleaned(docs.select("doc_id", "text"), repeated_lines, _without_lines).select(F.col("__doc").alias("doc_id"), F.when(F.col("__removed").isNull(), 0).otherwise(F.size(starts)).alias("removed_chunks"), "text")
 
 
 @own_names
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs after line_dedup: changed texts, and n_chars with them where docs has it; all other columns as they are.
+    """docs after run_dedup: changed texts, and n_chars with them where docs has it; all other columns as they are.
 
     Rows of which nothing is left go; rows that had no text before stay.
     """
-    clean = _cleaned(docs).where("__removed IS NULL OR text != ''")
+    clean = _cleaned(docs, repeated_lines, _without_lines).where("__removed IS NULL OR text != ''")
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return clean.select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return run_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_line_dedup": op10}
