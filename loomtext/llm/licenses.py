@@ -3,13 +3,16 @@
 The hash of every run of three words of every text is joined with the runs of the license
 templates. Runs that match on one diagonal (place in the text less place in the template)
 vote together; neighbouring diagonals, as an inserted or dropped word leaves them, are
-merged to spans; a span that covers enough of its template is verified word by word.
+merged to spans; a span that covers enough of its template is verified word by word. The
+words that tell one license from another must be the same; of templates that cover one
+span the best is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,9 @@ GAP = 12
 #: A candidate's votes come to this share of its template's runs at least; a verified span's equal words to this share of the words.
 LEAST_VOTES = 0.5
 LEAST_EQUAL = 0.8
+#: Words that tell licenses apart: in a verified span all of them match, in the text and in the template. Numbers of up to two digits do so in templates of up to SHORT words.
+MARKS = frozenset(b"lesser affero sa nc nd sharealike noncommercial noderivatives noderivs neither advertising".split())
+SHORT = 80
 
 TEMPLATES: dict[str, str] = {
     "MIT-line": "Released under the MIT License.",
@@ -38,7 +44,33 @@ TEMPLATES: dict[str, str] = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "BSD-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-name": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-name": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0-name": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0-name": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-name": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "BSD-line": "Released under the BSD License.",
+    "ISC-line": "Released under the ISC License.",
+    "zlib-line": "Released under the zlib License.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
+#: Whole texts, by file name.
+TEMPLATES |= {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,15 +79,32 @@ def words_of(text: str) -> list[bytes]:
     return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+def marks(words: list[bytes], numbers: bool) -> set[int]:
+    """Places of the words that tell licenses apart."""
+    return {i for i, w in enumerate(words) if w in MARKS or numbers and w.isdigit() and len(w) <= 2}
+
+
+def best_spans(found: list[tuple]) -> list[tuple]:
+    """Of spans (doc_id, license, first, last, votes, share, equal, all words) that lie on each other by half of the shorter one, that of the most equal words less the unequal ones."""
+    kept: list[tuple] = []
+    for r in sorted(found, key=lambda r: (r[7] - 2 * r[6], -r[5], r[1], r[2])):
+        if all(2 * (min(r[3], k[3]) - max(r[2], k[2]) + 1) < min(r[3] - r[2], k[3] - k[2]) + 1 for k in kept):
+            kept.append(r)
+    return sorted(kept, key=lambda r: (r[2], r[1]))
+
+
 def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf, starts, ends, counts = K.words(texts)
     return K.kgrams(K.span_hashes(buf, starts, ends), counts, GRAM)
 
 
 def template_runs(templates: dict[str, str]) -> list[tuple[int, str, int, int]]:
-    """(run, license, place, runs in the template)."""
+    """(run, license, place, runs in the template); a run that a template repeats would vote on wrong diagonals, and is left out."""
     names = list(templates)
     h, owner, place = _runs(pa.array(list(templates.values()), pa.string()))
+    _, back, count = np.unique(np.stack([h, owner.astype(np.uint64)]), axis=1, return_inverse=True, return_counts=True)
+    once = count[back.ravel()] == 1
+    h, owner, place = h[once], owner[once], place[once]
     total = np.bincount(owner, minlength=len(names))
     return [(int(x), names[o], int(p), int(total[o])) for x, o, p in zip(h.view(np.int64), owner, place)]
 
@@ -75,7 +124,7 @@ def _verifier(templates: dict[str, str]):
         for batch in batches:
             rows = []
             for doc_id, text, spans in zip(batch.column(0), batch.column(1), batch.column(2)):
-                words = words_of(text.as_py())
+                words, found = words_of(text.as_py()), []
                 for span in spans.as_py():
                     template = known[span["license"]]
                     # As far around the span as the template goes beyond its matched runs.
@@ -87,8 +136,13 @@ def _verifier(templates: dict[str, str]):
                         continue
                     first, last = low + blocks[0].a, low + blocks[-1].a + blocks[-1].size - 1
                     share = equal / max(len(template), last - first + 1)
-                    if share >= LEAST_EQUAL:
-                        rows.append((doc_id.as_py(), span["license"], first, last, span["votes"], round(share, 6)))
+                    here = {low + b.a + i for b in blocks for i in range(b.size)}
+                    there = {b.b + i for b in blocks for i in range(b.size)}
+                    numbers = len(template) <= SHORT
+                    same = marks(template, numbers) <= there and {first + i for i in marks(words[first : last + 1], numbers)} <= here
+                    if same and share >= LEAST_EQUAL:
+                        found.append((doc_id.as_py(), span["license"], first, last, span["votes"], round(share, 6), equal, max(len(template), last - first + 1)))
+                rows += best_spans(found)
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "license", "first_word", "last_word", "votes", "equal"])
 
