@@ -55,11 +55,20 @@ def markdown_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hybrid strategy on documents that hold no sign of markdown."""
+    """The hybrid strategy on documents that hold no sign of markdown, which SQL can follow; chunk_hybrid_documents takes them all."""
     plain = _docs(spark, sf_dir).where(~F.col("text").rlike(r"[|\[>#`~]|(^|\n) *([-*+]|[0-9]+[.)])[ \t]"))
     return index.chunks(plain, "doc_id", "text", "hybrid", 100, 20)
 
 
+def _whole(strategy: str):
+    """A structured strategy on all documents, with markdown in them or without."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index.chunks(_docs(spark, sf_dir), "doc_id", "text", strategy, 100, 20)
+
+    return run
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     return written_chunks(spark, schema, f"{sf_dir}/documents.parque[t]", scratch(spark, "stream"), 400, 50).withColumnRenamed("doc_id", "source_id")
@@ -73,6 +82,8 @@ QUERIES = {
     "chunk_markdown": _structured("markdown", 50),
     "chunk_hybrid": _structured("hybrid", 100),
     "chunk_plain_fallback": plain_fallback,
+    "chunk_hybrid_documents": _whole("hybrid"),
+    "chunk_markdown_documents": _whole("markdown"),
     "markdown_detection": markdown_detection,
     "strip_non_ascii": strip_non_ascii,
     "token_estimates": token_estimates,
