@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: The stages' models and samples are beyond SQL; tests hold run() against a brute-force version.
+#: The stages' models and samples are beyond SQL; a test holds run() against the same stages one by one, and no brute-force version of the whole is there yet.
 ORACLE_SQL = None
 
 
