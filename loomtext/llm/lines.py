@@ -1,13 +1,18 @@
 """Repeated runs of lines (operator 10).
 
 A run of two lines or more is shared, byte for byte, exactly if each two lines on end in it
-are. So all pairs of neighbouring lines are hashed, those whose hash occurs twice are
-compared by their bytes, and of each pair only the first occurrence in the corpus stays; a
-line goes if a pair goes that it belongs to. The first occurrence of every line stays.
+are. So all pairs of neighbouring lines are hashed, and lines of LONG_WORDS words or more by
+themselves too; those whose hash occurs twice are compared by their bytes, and of each only
+the first occurrence in the corpus stays; a line goes if a pair goes that it belongs to. The
+first occurrence of every line stays.
 
 line_dedup() compares whole chunks instead: a hash rolled over two lines on end decides
 whether a chunk may end after a line. It keeps the edges of shared runs, and short runs
 that hold no whole chunk; the query and the pipeline don't use it.
+
+However often a run stands somewhere, no task holds all its occurrences: bodies and first
+places are combined before they are shuffled, and occurrences meet the one row of their
+hash in a join that is broadcast, or whose hot partitions the adaptive planner splits.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +31,8 @@ from loomtext.llm.shared import content_key, join_checked, materialise, own_name
 #: A line ends a chunk with chance 1 / DIVISOR, if the chunk has LEAST_LINES by then.
 DIVISOR = 2
 LEAST_LINES = 2
+#: A line of so many words is a run by itself, as a paragraph on one line is.
+LONG_WORDS = 50
 
 
 def _lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,49 +90,90 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.repeat(np.arange(len(per)), per)[stop], starts[open_], ends[stop], stop - open_ + 1
 
 
-def _located(batch: pa.RecordBatch, bodies: bool) -> Iterator[pa.RecordBatch]:
+def _found(batch: pa.RecordBatch, bodies: bool, cut: Callable[[pa.Array], tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """The rows of all spans that cut finds: (text, first byte, last byte + 1, place in the text, lines)."""
     for i, j in K.slices(batch.column(2)):
         part = batch.slice(i, j - i)
-        owner, starts, ends, lines = chunks(part.column(2))
+        owner, starts, ends, place, lines = cut(part.column(2))
         buf, _ = K.raw(part.column(2))
-        begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
-        index = np.arange(len(owner)) - np.repeat(begin, np.diff(np.r_[begin, len(owner)]))
         ink = np.r_[0, np.cumsum(buf > 32, dtype=np.int64)]
-        # Blank chunks and single lines always stay.
-        use = np.flatnonzero((lines >= LEAST_LINES) & (ink[ends] > ink[starts]))
-        take = pa.array(owner[use])
-        columns = [pa.array(K.span_hashes(buf, starts[use], ends[use]).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(index[use], pa.int32())]
-        names = ["chunk", "doc_id", "content", "at"]
+        # Blank spans always stay.
+        use = np.flatnonzero(ink[ends] > ink[starts])
+        starts, ends, take = starts[use], ends[use], pa.array(owner[use])
+        columns = [pa.array(K.span_hashes(buf, starts, ends).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(place[use], pa.int32()), pa.array(lines[use], pa.int32())]
+        names = ["chunk", "doc_id", "content", "at", "lines"]
         if bodies:
             data = buf.tobytes()
-            columns.append(pa.array([data[a:b] for a, b in zip(starts[use].tolist(), ends[use].tolist())], pa.binary()))
+            columns.append(pa.array([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()))
             names.append("body")
         yield pa.record_batch(columns, names)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from _located(batch, False)
+def _whole_chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """The chunks of LEAST_LINES lines or more, numbered from 0 within their text."""
+    owner, starts, ends, lines = chunks(texts)
+    begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+    place = np.arange(len(owner)) - np.repeat(begin, np.diff(np.r_[begin, len(owner)]))
+    use = lines >= LEAST_LINES
+    return owner[use], starts[use], ends[use], place[use], lines[use]
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from _located(batch, True)
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """All pairs of neighbouring lines, and the long lines, by the number of their first line."""
+    buf, off = K.raw(texts)
+    starts, ends, per = _lines(buf, off)
+    owner = np.repeat(np.arange(len(per)), per)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    solid = buf > 32
+    heads = solid.copy()
+    heads[1:] &= ~solid[:-1]
+    words = np.r_[0, np.cumsum(heads, dtype=np.int64)]
+    two = np.flatnonzero(owner[1:] == owner[:-1])
+    one = np.flatnonzero(words[ends] - words[starts] >= LONG_WORDS)
+    first, last = np.r_[two, one], np.r_[two + 1, one]
+    return owner[first], starts[first], ends[last], place[first], last - first + 1
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, removed): the chunk numbers, from 0, that go from each document that loses any.
+def _mapper(cut: Callable[[pa.Array], tuple[np.ndarray, ...]], bodies: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _found(batch, bodies, cut)
+
+    return run
+
+
+SPANS = "chunk long, doc_id long, content long, at int, lines int"
+
 
-    The occurrence that stays is that of the least doc_id (null last), content key and chunk number.
+def _repeats(docs: DataFrame, cut: Callable[[pa.Array], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(doc_id, content, at, lines, first) of all spans that stand elsewhere, less the first occurrence of each.
+
+    first is (no_id, doc_id, content, at) of the occurrence that stays: that of the least
+    doc_id (null last), content key and place.
     """
     slim = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("content"), F.col("text").cast("string").alias("text"))
+    every = materialise(slim.mapInArrow(_mapper(cut, False), SPANS))
+    parts = {"no_id": F.col("doc_id").isNull().cast("int"), "id": F.coalesce("doc_id", F.lit(0)), "content": F.col("content"), "at": F.col("at")}
+    ends = [f(x).alias(f"{k}_{n}") for k, x in parts.items() for n, f in (("min", F.min), ("max", F.max))]
+    again = materialise(every.groupBy("chunk").agg(*ends).where(" OR ".join(f"{k}_min != {k}_max" for k in parts)).select("chunk"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "at")
-    spread = slim.mapInArrow(_hashes, "chunk long, doc_id long, content long, at int").groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = materialise(spread.where("first != last").select("chunk"))
-    shown = slim.mapInArrow(_bodies, "chunk long, doc_id long, content long, at int, body binary")
-    same = Window.partitionBy("chunk", "body").orderBy(F.col("doc_id").asc_nulls_last(), "content", "at")
-    ranked = join_checked(shown, again, ["chunk"], "left_semi", 8).withColumn("rank", F.dense_rank().over(same)).where("rank > 1")
-    return ranked.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("at")).alias("removed"))
+    shown = join_checked(slim.mapInArrow(_mapper(cut, True), f"{SPANS}, body binary"), again, ["chunk"], "left_semi", 48)
+    bodies = shown.groupBy("chunk", "body").agg(F.min(place).alias("first"))
+    told = materialise(bodies.groupBy("chunk").agg(F.count("*").alias("bodies"), F.min("first").alias("first")))
+    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "at")
+    columns = ["doc_id", "content", "at", "lines", "first"]
+    same = join_checked(every, told.where("bodies = 1").drop("bodies"), ["chunk"], "inner", 144).where(here != F.col("first")).select(*columns)
+    # Spans of one hash but several bodies, if there are any, are told apart by their bytes.
+    clash = told.where("bodies > 1").select("chunk")
+    if clash.isEmpty():
+        return same
+    firsts = bodies.join(clash, "chunk", "left_semi")
+    return same.union(shown.join(clash, "chunk", "left_semi").join(firsts, ["chunk", "body"]).where(here != F.col("first")).select(*columns))
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, removed): the chunk numbers, from 0, that go from each document that loses any."""
+    return _repeats(docs, _whole_chunks).groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
 def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -142,55 +190,14 @@ def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _pairs(batch: pa.RecordBatch, bodies: bool) -> Iterator[pa.RecordBatch]:
-    for i, j in K.slices(batch.column(2)):
-        part = batch.slice(i, j - i)
-        buf, off = K.raw(part.column(2))
-        starts, ends, per = _lines(buf, off)
-        owner = np.repeat(np.arange(len(per)), per)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        ink = np.r_[0, np.cumsum(buf > 32, dtype=np.int64)]
-        # Two blank lines always stay.
-        use = np.flatnonzero(owner[1:] == owner[:-1])
-        use = use[ink[ends[use + 1]] > ink[starts[use]]]
-        take = pa.array(owner[use])
-        columns = [pa.array(K.span_hashes(buf, starts[use], ends[use + 1]).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(place[use], pa.int32())]
-        names = ["chunk", "doc_id", "content", "at"]
-        if bodies:
-            data = buf.tobytes()
-            columns.append(pa.array([data[a:b] for a, b in zip(starts[use].tolist(), ends[use + 1].tolist())], pa.binary()))
-            names.append("body")
-        yield pa.record_batch(columns, names)
-
-
-def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from _pairs(batch, False)
-
-
-def _pair_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from _pairs(batch, True)
-
-
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, content, removed): the line numbers, from 0, that go from each document that loses any.
 
-    Of each pair of neighbouring lines the occurrence of the least doc_id (null last),
-    content key and line number stays. Where a pair of equal lines overlaps its own first
-    occurrence, the line they share stays.
+    Where a pair of equal lines overlaps its own first occurrence, the line they share stays.
     """
-    slim = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("content"), F.col("text").cast("string").alias("text"))
-    parts = {"no_id": F.col("doc_id").isNull().cast("int"), "id": F.coalesce("doc_id", F.lit(0)), "content": F.col("content"), "at": F.col("at")}
-    ends = [f(x).alias(f"{k}_{n}") for k, x in parts.items() for n, f in (("min", F.min), ("max", F.max))]
-    spread = slim.mapInArrow(_pair_hashes, "chunk long, doc_id long, content long, at int").groupBy("chunk").agg(*ends)
-    again = materialise(spread.where(" OR ".join(f"{k}_min != {k}_max" for k in parts)).select("chunk"))
-    shown = slim.mapInArrow(_pair_bodies, "chunk long, doc_id long, content long, at int, body binary")
-    same = Window.partitionBy("chunk", "body").orderBy(F.col("doc_id").asc_nulls_last(), "content", "at")
-    ranked = join_checked(shown, again, ["chunk"], "left_semi", 8).withColumn("rank", F.dense_rank().over(same)).withColumn("first", F.first(F.struct("doc_id", "content", "at")).over(same)).where("rank > 1")
     overlaps = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.content") == F.col("content")) & (F.col("first.at") + 1 == F.col("at"))
-    gone = F.when(overlaps, F.array(F.col("at") + 1)).otherwise(F.array("at", F.col("at") + 1))
-    return ranked.select("doc_id", "content", F.explode(gone).alias("line")).groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = F.when(F.col("lines") == 1, F.array("at")).when(overlaps, F.array(F.col("at") + 1)).otherwise(F.array("at", F.col("at") + 1))
+    return _repeats(docs, _pairs).select("doc_id", "content", F.explode(gone).alias("line")).groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
 def _without_lines(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -210,7 +217,7 @@ def _cleaned(docs: DataFrame, repeated: Callable[[DataFrame], DataFrame], withou
     found = materialise(repeated(docs).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("removed").alias("__removed")))
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": content_key(F.col("text"))})
     on = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__content"))
-    joined = join_checked(keyed, found, on, "left", 64)
+    joined = join_checked(keyed, found, on, "left", 96 + 4 * F.size("__removed"))
     some = joined.where("__removed IS NOT NULL")
     return joined.where("__removed IS NULL").unionByName(some.withColumn("text", F.arrow_udf(without, T.StringType())(F.col("text"), F.col("__removed"))))
 
@@ -220,8 +227,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     A null text stays null, an empty one empty; texts of one line never change. A document
     of which nothing is left has the text ''. Repeated rows (same doc_id and text) count
-    as one document and all get its result. An empty table gives no rows. Columns besides
-    doc_id and text are not read.
+    as one document and all get its result. Of tied occurrences that of the least doc_id
+    (null last), content key and place stays. Very long texts are cut whole, in slices of
+    their own. An empty table gives no rows. Columns besides doc_id and text are not read.
     """
     return _cleaned(docs.select("doc_id", "text"), repeated_chunks, _without).select(F.col("__doc").alias("doc_id"), F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).alias("removed_chunks"), "text")
 
@@ -229,8 +237,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 def run_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, removed_chunks, text) of every row, text without the runs of lines that stand elsewhere.
 
-    removed_chunks counts the runs of lines on end that went. Null, empty and one-line
-    texts, repeated rows, documents of which nothing is left and empty tables are as in
+    removed_chunks counts the runs of lines on end that went. A text of one line loses it
+    only if the line has LONG_WORDS words and stands elsewhere. Null, empty and very long
+    texts, ties, repeated rows, documents of which nothing is left and empty tables are as in
     line_dedup.
     """
     starts = F.filter("__removed", lambda x, i: (i == 0) | (F.get("__removed", i - 1) != x - 1))

@@ -36,21 +36,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the counted rows of a materialised df may be broadcast."""
-    return df.count() * row_bytes <= limit
+def fits(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised df may be broadcast: its counted rows, or their summed sizes where rows have no fixed one."""
+    total = F.count("*") * row_bytes if isinstance(row_bytes, int) else F.sum(row_bytes)
+    return (df.agg(total).first()[0] or 0) <= limit
 
 
-def join_checked(big: DataFrame, side: DataFrame, on: Column | list[str], how: str, row_bytes: int) -> DataFrame:
-    """Joins a materialised side: broadcast if its counted size allows, else by shuffling both."""
+def join_checked(big: DataFrame, side: DataFrame, on: Column | list[str], how: str, row_bytes: int | Column) -> DataFrame:
+    """Joins a materialised side: broadcast if its counted size allows, else by shuffling both.
+
+    row_bytes are those of a row in a hashed relation: about 48 for one long, and 8 a column
+    in key and value each, with the lengths of what has no fixed one.
+    """
     return big.join(F.broadcast(side) if fits(side, row_bytes) else side, on, how)
 
 
 def content_key(text: Column) -> Column:
-    """64 bits of a text's MD5: equal texts share it; null for a null text."""
+    """64 bits of a text's MD5, to tell apart texts of one doc_id; null for a null text."""
     return F.when(text.isNotNull(), F.xxhash64(F.md5(text)))
 
 
+def text_key(text: Column) -> Column:
+    """A text's whole MD5: what equal texts share, and no two others of a corpus; null for a null text."""
+    return F.unhex(F.md5(text))
+
+
 def own_names(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Renames columns of docs that begin with two underscores while step, whose own they might be, is at work."""
 

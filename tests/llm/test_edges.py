@@ -185,30 +185,6 @@ def test_pieces_follow_the_lattice(spark):
         assert abs(seen[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
 
 
-def test_line_dedup_against_brute_force(spark):
-    import pyarrow as pa
-
-    shared = "\n".join(f"shared line number {i} of a notice" for i in range(12))
-    texts = [f"own {i}\nsecond {i}\nthird {i}\n{shared}\nlast {i}\nvery last {i}" for i in range(6)] + ["", None, "single", "single", "\n\n\n", "\n\n\n"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in lines.line_dedup(docs).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
-        if not t:
-            assert got[i] == t
-            continue
-        owner, starts, ends, n = lines.chunks(pa.array([t]))
-        data, kept = t.encode(), []
-        for a, b, k in zip(starts, ends, n):
-            body = data[a:b]
-            if k >= lines.LEAST_LINES and body.strip() and body in seen:
-                continue
-            seen.add(body)
-            kept.append(body.decode())
-        assert got[i] == "\n".join(kept)
-    assert sum("shared line number 5" in t for t in got.values() if t) < 6
-
-
 def test_pipeline_runs_its_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     by_hand = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
