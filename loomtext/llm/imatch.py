@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import kernels as K
-from loomtext.llm.shared import materialise, table
+from loomtext.llm.shared import materialise, table, text_key
 
 #: Terms in 0.1 to 2 per cent of the texts.
 LOW_IDF = float(np.log(50))
@@ -122,8 +122,10 @@ def fingerprints(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF,
 
     A hash is null where its subset leaves fewer than LEAST_TERMS terms; so are all hashes of
     null, empty and wordless texts. Document frequencies count every row with a word, repeated
-    rows each; equal texts get equal fingerprints. A null doc_id stays null. An empty table
-    gives no rows. Columns besides doc_id and text are not read.
+    rows each; equal texts get equal fingerprints, and a term whose frequency ties with an end
+    of the band is in it. Very long texts are read whole, in slices of their own. A null
+    doc_id stays null. An empty table gives no rows. Columns besides doc_id and text are not
+    read.
     """
     spark = docs.sparkSession
     counts = materialise(document_frequencies(docs))
@@ -136,8 +138,8 @@ def fingerprints(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF,
         known = np.sort(np.array([r[0] for r in band.toLocalIterator()], np.int64).view(np.uint64))
         lexicon = spark.sparkContext.broadcast(known.tobytes())
         return slim.select("doc_id", F.arrow_udf(_printer(lexicon), PRINTS)("text").alias("p")).select("doc_id", "p.terms", F.col("p.prints").alias("fingerprints"))
-    keyed = slim.withColumn("row", F.coalesce(F.xxhash64(F.md5("text")), F.lit(0)))
-    terms = keyed.where("text IS NOT NULL").select("row", "text").dropDuplicates(["row"]).mapInArrow(_exploded, "row long, term long").join(band, "term", "left_semi")
+    keyed = slim.withColumn("row", text_key(F.col("text")))
+    terms = keyed.where("text IS NOT NULL").select("row", "text").dropDuplicates(["row"]).mapInArrow(_exploded, "row binary, term long").join(band, "term", "left_semi")
     lists = terms.groupBy("row").agg(F.collect_list("term").alias("terms"))
     joined = keyed.select("doc_id", "row").join(lists, "row", "left")
     return joined.select("doc_id", F.arrow_udf(_print_lists, PRINTS)(F.coalesce("terms", F.array().cast("array<bigint>"))).alias("p")).select("doc_id", "p.terms", F.col("p.prints").alias("fingerprints"))
