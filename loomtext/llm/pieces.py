@@ -2,8 +2,8 @@
 
 All pieces that match somewhere in a text span a lattice. Forward filtering sums the
 weights of the ways to each place of it, backward sampling draws a segmentation in
-proportion to its weight, by random numbers that depend only on the row's key and the
-place in the text. The lattice falls apart at every blank that follows a non-blank, as no
+proportion to its weight, by random numbers that depend only on the row's key, its epoch
+and the place in the text. The lattice falls apart at every blank that follows a non-blank, as no
 piece holds such a blank inside; so it is built once for each distinct word of a slice of
 rows.
 
@@ -17,16 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import kernels as K
-from loomtext.llm.shared import table
+from loomtext.llm.shared import content_key, join_checked, materialise, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weights are probabilities to this power: under 1 flattens, over 1 sharpens, 0 makes all segmentations alike.
@@ -39,10 +41,10 @@ MARK = "▁"
 class Pieces:
     """The vocabulary as a byte trie, blanks in place of the blank mark."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = model.get_piece_size()
         self.text: list[bytes] = [b""] * size
         self.of_byte = np.full(256, -1, np.int32)
@@ -85,7 +87,6 @@ class Pieces:
         self.offsets = np.r_[0, np.cumsum(self.lengths)]
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
 
-
     def _place(self, nodes: list[dict[int, int]], ends: list[int]) -> None:
         """The trie as a double array: the way from state s by byte b leads to t = base[s] + b, if parent[t] is s.
 
@@ -131,8 +132,12 @@ class Pieces:
 
 
 @lru_cache(2)
-def load(path: str) -> Pieces:
-    return Pieces(path)
+def loaded(model: bytes) -> Pieces:
+    return Pieces(model)
+
+
+def load(path: str = MODEL) -> Pieces:
+    return loaded(Path(path).read_bytes())
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -291,10 +296,12 @@ def _encode_slice(texts: pa.Array, keys: np.ndarray, pieces: Pieces, alpha: floa
     return out, np.bincount(owner, weights=width, minlength=len(texts)).astype(np.int64)
 
 
-def encode(texts: pa.Array, keys: pa.Array, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> pa.Array:
-    """A list of piece ids for each text, null for null; keys are the rows' integer keys, a null key is 0."""
-    pieces = load(path)
+def encode(texts: pa.Array, keys: pa.Array, pieces: Pieces, alpha: float = ALPHA, seed: int = SEED, epochs: pa.Array | None = None) -> pa.Array:
+    """A list of piece ids for each text, null for null; keys are the rows' integer keys, a null key is 0. Each epoch draws anew."""
     row = K.mix(pc.fill_null(keys.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(K.mix_int(seed)))
+    if epochs is not None:
+        later = epochs.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+        row = np.where(later > 0, K.mix(row + later * np.uint64(0xD6E8FEB86659FD93)), row)
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for i, j in K.slices(texts, SLICE):
         a, b = _encode_slice(texts.slice(i, j - i), row[i:j], pieces, alpha)
@@ -305,9 +312,8 @@ def encode(texts: pa.Array, keys: pa.Array, path: str = MODEL, alpha: float = AL
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)), mask=missing)
 
 
-def decode(ids: pa.Array, path: str = MODEL) -> pa.Array:
+def decode(ids: pa.Array, pieces: Pieces) -> pa.Array:
     """The texts of lists of piece ids, null for null; ids that stand for no text, as of control pieces, give none."""
-    pieces = load(path)
     filled = pc.if_else(ids.is_null(), pa.scalar([], ids.type), ids) if ids.null_count else ids
     flat = filled.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.r_[0, np.cumsum(pieces.lengths[flat])]
@@ -322,38 +328,85 @@ def decode(ids: pa.Array, path: str = MODEL) -> pa.Array:
     return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), out) if ids.null_count else out
 
 
-def _coder(path: str, alpha: float, seed: int):
+CODED = "doc_id long, source string, epoch int, ids array<int>, n_pieces int, lossless boolean"
+CODED_IN_ORDER = "doc_id long, source string, epoch int, part int, place long, ids array<int>, n_pieces int, lossless boolean"
+
+
+def _coder(path: str, alpha: float, seed: int, names: list[str]):
+    # The vocabulary goes with the function, so that executors needn't have the file.
+    model = Path(path).read_bytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(model)
         # A batch out for each slice, so that the ids of a whole batch are never held at once.
         for batch in batches:
-            for i, j in K.slices(batch.column(2), SLICE):
+            texts = batch.column("text")
+            for i, j in K.slices(texts, SLICE):
                 part = batch.slice(i, j - i)
-                ids = encode(part.column(2), part.column(0), path, alpha, seed)
-                same = pc.equal(decode(ids, path), part.column(2))
-                yield pa.record_batch([part.column(0), part.column(1), ids, pc.list_value_length(ids), same], ["doc_id", "source", "ids", "n_pieces", "lossless"])
+                ids = encode(part.column("text"), part.column("doc_id"), pieces, alpha, seed, part.column("epoch"))
+                same = pc.equal(decode(ids, pieces), part.column("text"))
+                told = {"ids": ids, "n_pieces": pc.list_value_length(ids), "lossless": same}
+                yield pa.record_batch([told[c] if c in told else part.column(c) for c in names], names)
 
     return run
 
 
-CODED = "doc_id long, source string, ids array<int>, n_pieces int, lossless boolean"
+def encoded(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, epoch, ids, n_pieces, lossless) of every row; lossless: decoding the ids gives the text again.
 
+    epoch is 0, or the docs' own column of that name; the same doc_id, epoch and text always
+    give the same ids, however rows are split, tied or repeated. A null doc_id draws as 0
+    does, a null epoch is 0. A null text has null ids, an empty one none; a very long one is
+    one lattice of its own. An empty table gives no rows. Columns besides doc_id, source,
+    epoch and text are not read; without a column source it is null.
+    """
+    return _encoded(docs, path, alpha, seed, CODED)
 
-def encoded(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, ids, n_pieces, lossless) of every row; lossless: decoding the ids gives the text again.
 
-    The same doc_id and text always give the same ids, however rows are split or repeated.
-    A null doc_id draws as 0 does. A null text has null ids, an empty one none. An empty
-    table gives no rows. Columns besides doc_id, source and text are not read; without a
-    column source it is null.
+def _encoded(docs: DataFrame, path: str, alpha: float, seed: int, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    own = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+    read = [own(c, kind).alias(c) for c, kind in (("part", "int"), ("place", "long")) if c in names]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own("source", "string").alias("source"), F.coalesce(own("epoch", "int"), F.lit(0)).alias("epoch"), F.col("text").cast("string").alias("text"), *read)
+    return slim.mapInArrow(_coder(path, alpha, seed, names), schema)
+
+
+def encoded_in_order(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """encoded() of rows in training order: (doc_id, source, epoch, part, place, ids, n_pieces, lossless).
+
+    Rows that repeat a doc_id, source and text are epochs of one document: they are numbered
+    in their order, from 0, and each draws its own segmentation. part and place are the
+    number of the file that a row was read from, and its row there: a range-sorted table is
+    in order by both. They are null, and epochs in any order, where docs isn't read from
+    Parquet. Nulls, empty and long texts, ties and empty tables are as in encoded(); columns
+    named epoch, part or place are not read.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("epoch", "part", "place")])
+    try:
+        placed = docs.withColumns({"part": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int"), "place": F.col("_metadata.row_index")})
+    except AnalysisException:
+        placed = docs.withColumns({"part": F.lit(None).cast("int"), "place": F.lit(None).cast("long")})
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_coder(path, alpha, seed), CODED)
+    keyed = placed.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), "text", "part", "place", F.struct(F.col("doc_id").cast("long").alias("d"), source.alias("s"), content_key(F.col("text")).alias("t")).alias("key"))
+    again = materialise(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
+    on = F.col("key") == F.col("__key")
+    size = 96 + F.coalesce(F.octet_length("__key.s"), F.lit(0))
+    single = join_checked(keyed, again, on, "left_anti", size).withColumn("epoch", F.lit(0))
+    # Epochs are counted by files first, so that no task orders all rows of one document.
+    turns = materialise(join_checked(keyed, again, on, "left_semi", size).withColumn("part", F.coalesce("part", F.lit(-1))))
+    totals = turns.groupBy("key", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("key").alias("__key"), F.col("part").alias("__part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("place")) - 1
+    numbered = turns.withColumn("turn", within).join(bases, (F.col("key") == F.col("__key")) & (F.col("part") == F.col("__part")))
+    repeated = numbered.withColumn("epoch", (F.col("base") + F.col("turn")).cast("int")).withColumn("part", F.nullif("part", F.lit(-1))).select(*single.columns)
+    return _encoded(single.unionByName(repeated), path, alpha, seed, CODED_IN_ORDER)
 
 
 def decoded(coded: DataFrame, path: str = MODEL) -> DataFrame:
     """coded with a column text, decoded from its column ids; null ids give a null text."""
-    return coded.withColumn("text", F.arrow_udf(lambda ids: decode(ids, path), T.StringType())(F.col("ids")))
+    model = Path(path).read_bytes()
+    return coded.withColumn("text", F.arrow_udf(lambda ids: decode(ids, loaded(model)), T.StringType())(F.col("ids")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,15 +140,6 @@ def test_curriculum(spark, docs):
     assert ordered == [r.doc_id for r in sorted(got, key=lambda r: (r.position, r.source, r.doc_id, r.epoch))]
 
 
-def test_warc(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", "é" * (i % 90)) for i in range(3000)] + [(7, "u7", "again"), (None, None, None)], "page_id long, url string, html string")
-    assert warc.audit(pages, pages.repartition(5)).count() == 0
-    other = pages.where("page_id IS NULL OR page_id NOT IN (5, 2999)").withColumn("html", F.when(F.col("page_id") == 700, "bad").otherwise(F.col("html")))
-    got = {(r.node, r.status) for r in warc.audit(pages, other).where("level = 0").collect()}
-    assert got == {(5, "missing"), (2999, "missing"), (700, "differs")}
-    assert {(r.node, r.status) for r in warc.audit(other, pages).where("level = 0").collect()} == {(5, "extra"), (2999, "extra"), (700, "differs")}
-
-
 def test_pieces_lossless_and_seeded(spark, docs):
     got = pieces.decoded(pieces.encoded(docs)).collect()
     text = sorted(str((r[0], r[1])) for r in rows())
@@ -156,39 +147,3 @@ def test_pieces_lossless_and_seeded(spark, docs):
     assert all(r.lossless or r.ids is None for r in got)
     again = pieces.encoded(docs.repartition(7)).collect()
     assert sorted(map(str, again)) == sorted(map(str, pieces.encoded(docs).collect()))
-
-
-def test_pieces_follow_the_lattice(spark):
-    import math
-    from collections import Counter
-
-    import pyarrow as pa
-
-    model, word, n = pieces.load(pieces.MODEL), b" the", 4000
-    known = {}
-    for i, p in enumerate(model.text):
-        if math.isfinite(model.log[i]):
-            known[p] = i
-
-    def ways(rest):
-        if not rest:
-            yield (), 0.0
-        for k in range(1, len(rest) + 1):
-            if rest[:k] in known:
-                for tail, w in ways(rest[k:]):
-                    yield (known[rest[:k]], *tail), w + pieces.ALPHA * model.log[known[rest[:k]]]
-
-    weights = {ids: math.exp(w) for ids, w in ways(word)}
-    seen = Counter(map(tuple, pieces.encode(pa.array(["the"] * n), pa.array(range(n))).to_pylist()))
-    for ids, w in weights.items():
-        p = w / sum(weights.values())
-        assert abs(seen[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
-
-
-def test_pipeline_runs_its_stages(spark):
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    by_hand = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        by_hand = stage(spark, by_hand, "/root/testdata/sf0.001")
-    a, b = (sorted((r.doc_id, tuple(r.ids)) for r in x.collect()) for x in (got, by_hand))
-    assert a == b and len({d for d, _ in a}) > 100 and all(r.lossless for r in got.collect())
