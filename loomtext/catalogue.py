@@ -18,5 +18,5 @@ SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search over freshly chunked documents: the ten best chunks."""
     chunks = index.with_ids(index.chunks(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    best = search.keyword_search(chunks, index.doc_vectors(chunks), index.query_vector(chunks, index_queries.QUERY))
+    best = search.keyword_search(chunks, index_queries.QUERY)
     return best.join(chunks, "id").orderBy(best["score"].desc(), "id").select("id", "source_id", "chunk_index", "score", "content")

@@ -34,11 +34,18 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.select(F.xxhash64(F.col("source_id").cast("string"), F.col("chunk_index"), F.col("content")).alias("id"), "*")
 
 
-def term_counts(table: DataFrame, spread: bool = True) -> DataFrame:
-    """(id, token_count, term, tf). With spread the text is first shuffled by id, so what groups by id later stays in place."""
+def term_counts(table: DataFrame, spread: bool = True, words: DataFrame | None = None) -> DataFrame:
+    """(id, token_count, term, tf), of all terms or those in words(term).
+
+    With spread the text is first shuffled by id, so what groups by id later stays in place;
+    without, counts are combined before they are shuffled.
+    """
     slim = table.select("id", "content", "token_count")
     slim = slim.repartition("id") if spread else slim
-    return slim.select("id", "token_count", F.explode(bm25.tokens(F.col("content"))).alias("term")).groupBy("id", "token_count", "term").agg(F.count("*").alias("tf"))
+    each = slim.select("id", "token_count", F.explode(bm25.tokens(F.col("content"))).alias("term"))
+    if words is not None:
+        each = each.join(words, "term", "left_semi").select("id", "token_count", "term")
+    return each.groupBy("id", "token_count", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freqs(table: DataFrame) -> DataFrame:
@@ -62,19 +69,28 @@ def term_idf(table: DataFrame, freqs: DataFrame | None = None) -> DataFrame:
     return freqs.crossJoin(F.broadcast(corpus_stats(table))).select("term", "doc_freq", bm25.idf(F.col("n"), F.col("doc_freq")).alias("idf"))
 
 
-def doc_vectors(table: DataFrame, config: EngineConfig | None = None, freqs: DataFrame | None = None) -> DataFrame:
-    """(id, dim, w): weights of the terms of a dimension added up, rounded to six decimals, positive ones only."""
+def doc_vectors(table: DataFrame, config: EngineConfig | None = None, freqs: DataFrame | None = None, only: bool = False, stats: tuple[int, float] | None = None) -> DataFrame:
+    """(id, dim, w): weights of the terms of a dimension added up, rounded to six decimals, positive ones only.
+
+    A term's dimension is worked out once, with its frequency. Terms that freqs lacks weigh
+    as unseen ones, or are left out with only. stats are (n, avg_len), if they are known.
+    """
     config = config or EngineConfig()
-    stats = F.broadcast(corpus_stats(table))  # one row
-    counted = term_counts(table).join(doc_freqs(table) if freqs is None else freqs, "term", "left").crossJoin(stats)
+    freqs = doc_freqs(table) if freqs is None else freqs
+    known = freqs.select("term", "doc_freq", bm25.term_dim(F.col("term")).alias("dim"))
+    counted = term_counts(table).join(known, "term", "inner" if only else "left")
+    if stats is None:
+        counted = counted.crossJoin(F.broadcast(corpus_stats(table)))  # one row
+    else:
+        counted = counted.withColumns({"n": F.lit(stats[0]), "avg_len": F.lit(float(stats[1]))})
     length = F.greatest(F.col("token_count"), F.lit(1))
     w = bm25.weight(bm25.idf(F.col("n"), F.col("doc_freq")), F.col("tf"), length, F.col("avg_len"), config.bm25_k1, config.bm25_b)
-    scored = counted.select("id", bm25.term_dim(F.col("term")).alias("dim"), w.alias("w")).where("w > 0")
+    scored = counted.select("id", F.coalesce("dim", bm25.term_dim(F.col("term"))).alias("dim"), w.alias("w")).where("w > 0")
     return scored.groupBy("id", "dim").agg(F.round(F.sum("w"), 6).alias("w")).where("w > 0")
 
 
-def query_vector(table: DataFrame, query: str, config: EngineConfig | None = None, freqs: DataFrame | None = None) -> DataFrame:
-    """(dim, w) of a query; its length is its number of distinct terms. Only its own terms are looked up."""
+def query_vector(table: DataFrame, query: str, config: EngineConfig | None = None, freqs: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
+    """(dim, w) of a query; its length is its number of distinct terms. Only its own terms are looked up. stats are (n, avg_len), if they are known."""
     config = config or EngineConfig()
     terms = bm25.query_terms(query)
     spark = table.sparkSession
@@ -87,8 +103,8 @@ def query_vector(table: DataFrame, query: str, config: EngineConfig | None = Non
     # As many rows as the query has terms.
     known = asked.join(F.broadcast(freqs), "term", "left")
     most = F.broadcast(known.agg(F.coalesce(F.max("doc_freq"), F.lit(0)).alias("most")))
-    stats = F.broadcast(corpus_stats(table))
-    each = known.crossJoin(stats).crossJoin(most).withColumn("n", F.greatest("n", "most"))
+    totals = corpus_stats(table) if stats is None else spark.createDataFrame([(int(stats[0]), float(stats[1]))], "n long, avg_len double")
+    each = known.crossJoin(F.broadcast(totals)).crossJoin(most).withColumn("n", F.greatest("n", "most"))
     w = bm25.weight(bm25.idf(F.col("n"), F.col("doc_freq")), F.lit(1), F.lit(len(terms)), F.col("avg_len"), config.bm25_k1, config.bm25_b)
     scored = each.select(bm25.term_dim(F.col("term")).alias("dim"), w.alias("w")).where("w > 0")
     return scored.groupBy("dim").agg(F.round(F.sum("w"), 6).alias("w")).where("w > 0")
@@ -99,17 +115,6 @@ def packed(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("id").agg(bm25.sparse_text(F.collect_list(F.struct("dim", "w"))).alias("sparse"))
 
 
-def write_inverted(vectors: DataFrame, path: str, parts: int = 64) -> None:
-    """Postings clustered by dimension: a query reads the folders of its dimensions only."""
-    bucketed = vectors.withColumn("part", F.pmod("dim", F.lit(parts)))
-    bucketed.repartition("part", "dim").sortWithinPartitions("part", "dim").write.partitionBy("part").mode("overwrite").parquet(path)
-
-
-def read_inverted(spark, path: str, dims: list[int], parts: int = 64) -> DataFrame:
-    found = spark.read.parquet(path)
-    return found.where(F.col("part").isin(*sorted({d % parts for d in dims})) & F.col("dim").isin(*dims)).select("id", "dim", "w") if dims else found.where(F.lit(False)).select("id", "dim", "w")
-
-
 def decrement(freqs: DataFrame, terms: DataFrame, by: str = "n") -> DataFrame:
     """doc_freq less what terms(term, n) take back, never under 0; null and non-positive n change nothing."""
     back = terms.where(F.col(by) > 0).groupBy("term").agg(F.sum(by).alias("__n"))

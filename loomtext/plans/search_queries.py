@@ -51,24 +51,29 @@ def semantic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = doc_chunks(spark, sf_dir)
-    return search.keyword_search(rows, index.doc_vectors(rows), index.query_vector(rows, QUERY), 3 * K).select("id", F.round("score", 6).alias("score"))
+    # Documents without terms are candidates too, as rows without a vector.
+    found = rows.select("id").join(search.scored(rows, search.ask(rows, QUERY)), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(3 * K).select("id", F.round("score", 6).alias("score"))
 
 
 def keyword_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best documents for every benchmark passage, by summed weights of shared terms."""
+    """The five best documents for every benchmark passage, by summed weights of shared terms. Only the passages' terms are counted."""
     rows, items = doc_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark")
     asked = items.select("item_id", F.explode(bm25.tokenize(F.col("text"))).alias("term"))
-    weighed = index.term_counts(rows).join(index.term_idf(rows), "term").crossJoin(F.broadcast(index.corpus_stats(rows)))
-    w = bm25.weight(F.col("idf"), F.col("tf"), F.greatest(F.col("token_count"), F.lit(1)), F.col("avg_len"))
-    hits = weighed.select("id", "term", w.alias("w")).join(asked, "term").groupBy("item_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    words = asked.select("term").distinct()
+    hits = index.term_counts(rows, spread=False, words=words)
+    freqs = hits.groupBy("term").agg(F.count("*").alias("doc_freq"))
+    weighed = hits.join(freqs, "term").crossJoin(F.broadcast(index.corpus_stats(rows)))
+    w = bm25.weight(bm25.idf(F.col("n"), F.col("doc_freq")), F.col("tf"), F.greatest(F.col("token_count"), F.lit(1)), F.col("avg_len"))
+    told = weighed.select("id", "term", w.alias("w")).join(asked, "term").groupBy("item_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     by = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(by)).where("rank <= 5").select("item_id", "rank", "id", "score")
+    return told.withColumn("rank", F.row_number().over(by)).where("rank <= 5").select("item_id", "rank", "id", "score")
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, alpha: float, vectors: DataFrame | None = None) -> DataFrame:
+def _hybrid(spark: SparkSession, sf_dir: str, alpha: float, asked: search.Asked | None = None) -> DataFrame:
     rows = _chunks(spark, sf_dir)
-    vectors = index.doc_vectors(rows) if vectors is None else vectors
-    return search.hybrid(rows, vectors, _query(spark, sf_dir), index.query_vector(rows, QUERY), K, alpha)
+    asked = search.ask(doc_chunks(spark, sf_dir), QUERY) if asked is None else asked
+    return search.hybrid(rows, search.scored(rows, asked), _query(spark, sf_dir), K, alpha)
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +82,13 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunks(spark, sf_dir)
-    found = search.hybrid_simple(rows, index.doc_vectors(rows), _query(spark, sf_dir), index.query_vector(rows, QUERY), K)
+    found = search.hybrid_simple(rows, search.scored(rows, search.ask(doc_chunks(spark, sf_dir), QUERY)), _query(spark, sf_dir), K)
     return found.select("source_id", "chunk", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_hybrid(spark, sf_dir, a).select(F.lit(a).alias("alpha"), "source_id", "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score")) for a in (0.0, 0.3, 0.7, 1.0)]
+    asked = search.ask(doc_chunks(spark, sf_dir), QUERY)
+    parts = [_hybrid(spark, sf_dir, a, asked).select(F.lit(a).alias("alpha"), "source_id", "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score")) for a in (0.0, 0.3, 0.7, 1.0)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
