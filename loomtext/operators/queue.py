@@ -45,6 +45,14 @@ def claim(queue: DataFrame, now: str | Column, batch: int = 10) -> DataFrame:
     return claimable(queue, now).orderBy("created_at", "id").limit(batch)
 
 
+def start(queue: DataFrame, claimed: DataFrame, now: str | Column) -> DataFrame:
+    """queue with the claimed items (id) in work."""
+    mine = claimed.select("id").distinct().withColumn("__mine", F.lit(True))
+    live = F.coalesce("__mine", F.lit(False)) & (F.col("status") == "pending")
+    moved = {"status": F.when(live, "processing").otherwise(F.col("status")), "processing_started_at": F.when(live, at(now)).otherwise(F.col("processing_started_at"))}
+    return queue.join(mine, "id", "left").select(*[moved.get(c, F.col(c)).alias(c) for c in queue.columns])
+
+
 def batches(claimed: DataFrame) -> DataFrame:
     """claimed with batch: 0 for all, or each item its own if one of them was retried or is sparse-only."""
     alone = F.broadcast(claimed.agg(F.coalesce(F.max((F.col("attempts") > 0) | sparse_only(F.col("metadata"))), F.lit(False)).alias("__alone")))
@@ -92,18 +100,26 @@ def fail_mismatched(queue: DataFrame, guarded: DataFrame) -> DataFrame:
     return queue.join(bad, "id", "left").select(*[{"status": F.when(F.col("__error").isNotNull(), "failed").otherwise(F.col("status")), "error_message": F.coalesce("__error", "error_message")}.get(c, F.col(c)).alias(c) for c in queue.columns])
 
 
+def retryable(now: str | Column, max_age_hours: int = 24, force: bool = False) -> Column:
+    fits = (F.col("status") == "failed") & (F.col("created_at") > at(now) - F.make_interval(hours=F.lit(max_age_hours)))
+    return F.coalesce(fits if force else fits & (F.col("attempts") < F.col("max_attempts")), F.lit(False))
+
+
 def retry_failed(queue: DataFrame, now: str | Column, max_age_hours: int = 24, force: bool = False) -> DataFrame:
     """Failed items of the last hours, with attempts left (or all with force), pending again."""
-    fits = (F.col("status") == "failed") & (F.col("created_at") > at(now) - F.make_interval(hours=F.lit(max_age_hours)))
-    fits = fits if force else fits & (F.col("attempts") < F.col("max_attempts"))
+    fits = retryable(now, max_age_hours, force)
     reset = {"status": F.lit("pending"), "attempts": F.lit(0), "error_message": F.lit(None).cast("string"), "next_retry_at": F.lit(None).cast("timestamp")}
-    return queue.withColumn("__fits", F.coalesce(fits, F.lit(False))).select(*[F.when(F.col("__fits"), reset[c]).otherwise(F.col(c)).alias(c) if c in reset else F.col(c) for c in queue.columns])
+    return queue.withColumn("__fits", fits).select(*[F.when(F.col("__fits"), reset[c]).otherwise(F.col(c)).alias(c) if c in reset else F.col(c) for c in queue.columns])
+
+
+def outdated(now: str | Column, older_than_hours: int = 24) -> Column:
+    old = (F.col("status") == "completed") & (F.col("processed_at") < at(now) - F.make_interval(hours=F.lit(older_than_hours)))
+    return F.coalesce(old, F.lit(False))
 
 
 def clear_completed(queue: DataFrame, now: str | Column, older_than_hours: int = 24) -> DataFrame:
     """queue without the completed items that were processed before then."""
-    old = (F.col("status") == "completed") & (F.col("processed_at") < at(now) - F.make_interval(hours=F.lit(older_than_hours)))
-    return queue.where(~F.coalesce(old, F.lit(False)))
+    return queue.where(~outdated(now, older_than_hours))
 
 
 def auto_cleanup(queue: DataFrame, now: str | Column, hours: int = 24) -> DataFrame:

@@ -19,10 +19,21 @@ def change_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFra
 
 
 def ingest(engine: Engine, r: Registration, stream: DataFrame, checkpoint: str, now) -> StreamingQuery:
-    """Applies what is there and ends. The batch id makes a repeated batch do nothing, and seq a change delivered twice, whenever that is."""
+    """Applies what is there and ends.
+
+    A batch's id is its stream's own, which the checkpoint keeps, with its number: so a batch
+    that is replayed does nothing, and those of another stream or a new checkpoint are others.
+    What a new checkpoint delivers again does nothing either, as seq tells of each change,
+    whenever it comes, whether it was applied. The batch is read in any case, so that a
+    replayed one also commits the state of operators before it.
+    """
+    import json
 
     def one(batch: DataFrame, number: int) -> None:
-        engine.apply(r, f"stream-{number}", batch, now, once=True)
+        log = engine.store(r).log
+        stream_id = json.loads(log.read_text(f"{checkpoint}/metadata"))["id"]
+        if not engine.apply(r, f"stream-{stream_id}-{number}", batch, now, once=True):
+            batch.write.format("noop").mode("overwrite").save()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
