@@ -119,7 +119,7 @@ def _whole_chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """All pairs of neighbouring lines, and the long lines, by the number of their first line."""
+    """All pairs of neighbouring lines of which one isn't long, and the long lines, by the number of their first line."""
     buf, off = K.raw(texts)
     starts, ends, per = _lines(buf, off)
     owner = np.repeat(np.arange(len(per)), per)
@@ -128,8 +128,10 @@ def _pairs(texts: pa.Array) -> tuple[np.ndarray, ...]:
     heads = solid.copy()
     heads[1:] &= ~solid[:-1]
     words = np.r_[0, np.cumsum(heads, dtype=np.int64)]
-    two = np.flatnonzero(owner[1:] == owner[:-1])
-    one = np.flatnonzero(words[ends] - words[starts] >= LONG_WORDS)
+    long = words[ends] - words[starts] >= LONG_WORDS
+    # What two long lines share, each of them tells alone.
+    two = np.flatnonzero((owner[1:] == owner[:-1]) & ~(long[1:] & long[:-1]))
+    one = np.flatnonzero(long)
     first, last = np.r_[two, one], np.r_[two + 1, one]
     return owner[first], starts[first], ends[last], place[first], last - first + 1
 

@@ -23,7 +23,9 @@ def brute(texts):
                 while i + n < len(own) and j + n < len(cut[e]) and own[i + n] == cut[e][j + n]:
                     n += 1
                 if (n >= 2 or len(own[i].split()) >= lines.LONG_WORDS) and any(x.strip() for x in own[i : i + n]):
-                    gone.update(range(i, i + n))
+                    # Lines of an earlier run that overlaps this one stay with it.
+                    for m in range(1 if n == 1 else 2, n + 1):
+                        gone.update(range(max(i, j + m) if e == d else i, i + m))
         out.append("\n".join(x for k, x in enumerate(own) if k not in gone))
     return out
 
@@ -55,6 +57,8 @@ def test_runs_on_edges(spark):
     got = [(r.doc_id, r.removed_chunks, r.text) for r in lines.run_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     want = [(1, 1, "x\nx"), (2, 1, ""), (3, 0, "one"), (4, 0, "one"), (5, 0, "\n\n\n"), (6, 0, "\n\n\n"), (7, 0, None), (8, 0, ""), (9, 0, "a\né b\nc"), (9, 0, "a\né b\nc"), (None, 1, "z"), (10, 0, "c\na")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+    own = ["x\nx\nx\nx", "a\nb\na\nb\na", "c\nc\nc\nd\nc\nc\nc"]
+    assert brute(own) == [r.text for r in lines.run_dedup(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).orderBy("doc_id").collect()]
 
 
 def test_long_lines_go_alone(spark):
