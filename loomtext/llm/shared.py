@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+#: Rows of a batch that goes to Python, where the session leaves it at Spark's own 10,000: texts are long.
+BATCH_ROWS = 2048
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller batches of rows for Python, which bound what an executor and its workers hold of texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage with a reliable checkpoint, which outlives executors."""
     checkpoint_dir(df.sparkSession)
+    lean(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
