@@ -17,31 +17,36 @@ from loomtext.llm.lines import drop_repeated_lines
 from loomtext.llm.minhash import drop_near_duplicates
 from loomtext.llm.pieces import encoded_in_order
 from loomtext.llm.quality import drop_low_quality
-from loomtext.llm.shared import checkpoint_dir, table
+from loomtext.llm.shared import checkpoint_dir, lean, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of good quality is under a half go; null, empty and blank texts stay."""
+    lean(spark)
     return drop_low_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that stand elsewhere go from the texts, and documents with nothing left; null and empty texts stay."""
+    lean(spark)
     return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, and of repeated rows one; null texts all stay."""
+    lean(spark)
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order under the natural schedule, once for each epoch they are placed in; what a source has beyond its demand goes."""
+    lean(spark)
     return mixed(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each row, another sample for each epoch of a document, whether they decode to its text, and its place in the training order (part, place)."""
+    lean(spark)
     return encoded_in_order(docs)
 
 
