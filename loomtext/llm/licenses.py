@@ -153,8 +153,9 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     """(doc_id, license, first_word, last_word, votes, equal) of every verified span; words count from 0.
 
     Templates of fewer than GRAM words are never found. A null doc_id stays null; null,
-    empty and short texts have no spans. Rows repeated with one doc_id and text give their
-    spans once. A text may hold several spans, also of one license. An empty table gives no
+    empty and short texts have no spans; very long ones are read whole, in slices of their
+    own. Of templates that tie on one span that of the least name is kept. Rows repeated with
+    one doc_id and text give their spans once. A text may hold several spans, also of one license. An empty table gives no
     rows. Columns besides doc_id and text are not read.
     """
     templates = TEMPLATES if templates is None else templates
@@ -172,7 +173,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     enough = spans.where(F.col("votes") >= F.col("t_runs") * LEAST_VOTES)
     listed = materialise(enough.groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("license", "first", "last", "t_first", "t_last", "votes"))).alias("spans")).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), "spans"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content"))
-    found = join_checked(slim, listed, on, "inner", 256).select("doc_id", "text", "spans")
+    found = join_checked(slim, listed, on, "inner", 96 + 96 * F.size("spans")).select("doc_id", "text", "spans")
     return found.mapInArrow(_verifier(templates), "doc_id long, license string, first_word int, last_word int, votes int, equal double").distinct()
 
 
