@@ -2,16 +2,16 @@
 
 Each text's word 3-grams fall into 160 buckets by hash. Of a bucket's smallest hash the
 register keeps the leading-zero count (6 bits) and the 10 bits after the first one. Bands
-of four registers find candidates; within a band's list a leader is compared with the
-rest by the matching registers, less those expected to match by chance; what may reach
-the threshold is verified on the exact shingle sets; verified pairs are joined into
-groups.
-
-A band may hold a third of all texts. Leaders are elected within each batch first, and what
-is close to one of them isn't sent on for that band, but is linked to it; lists are cut to
-blocks of BLOCK texts, whose leaders meet once more; and a leader's texts are verified in
-parts of PART. So no task holds a band, and what the last election of a band holds are
-leaders that are far from each other.
+of four registers find candidates: within a band every two texts are compared by the
+matching registers, less those expected to match by chance, but for texts that a chain of
+estimates from HIGH on joins already; what may reach the threshold is verified on the exact
+shingle sets; verified pairs are joined into groups.
+
+A band may hold a third of all texts. It is cut to lists of BLOCK texts, each compared in
+one task; what these join is grouped, and the rest of the band's pairs, of texts that are
+in different groups so far, are compared by pairs of spans of SPAN texts. A group's own
+texts aren't compared across lists. A text's links are verified in parts of PART. So no
+task holds a band.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ BANDS = BUCKETS // ROWS
 THRESHOLD = 0.5
 #: Estimates from here on are verified, 2.5 standard errors below the threshold.
 LOW = 0.4
-#: A member this close to a list's leader needs no comparison with the list's other members.
+#: Estimates from here on, 5 standard errors above the threshold, join texts without more comparisons.
 HIGH = 0.7
-#: Texts of a list that are put before one leader's election at most.
-BLOCK = 512
-#: Texts that are verified against one leader in one go.
+#: Texts of a list that are compared in one go at most.
+BLOCK = 2048
+#: Texts on either side of a comparison across the lists of a band.
+SPAN = 8192
+#: Texts that are verified against one text in one go.
 PART = 4096
 EMPTY = 0xFFFF
 
@@ -131,31 +133,67 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return buf.view(np.uint16).reshape(len(off) - 1, BUCKETS)
 
 
-def _elect(row: np.ndarray, begin: np.ndarray, size: np.ndarray, regs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaders of groups of rows that lie together: places of both ends of each link, and whether each place stays.
+def _columns(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Registers of texts as columns, so that sums run along the texts, and how many each text has filled."""
+    return np.ascontiguousarray(regs.T), (regs != EMPTY).sum(1)
 
-    A place that is HIGH to a leader is compared with nobody else and doesn't stay.
+
+def _may_reach(own: np.ndarray, columns: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Which columns' estimate with the registers own may be LOW or more: it is no more than the matching registers by either text's filled ones."""
+    mine = np.where(own == EMPTY, EMPTY - 1, own)  # a value that no register has
+    same = np.add.reduce((columns == mine[:, None]).view(np.uint8), axis=0, dtype=np.uint8)
+    return np.flatnonzero(same >= LOW * np.maximum(filled, (own != EMPTY).sum()))
+
+
+def _links(regs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both ends of the links of texts that share a band.
+
+    From the first text on, what is HIGH to it joins it, what is HIGH to one that joined too, and each
+    of them is compared with all that haven't joined. So no two texts are left uncompared but those
+    that such a chain joins, and links to what joined are left out for all but one that it is HIGH to.
     """
-    left, right, stays = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(len(row), bool)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest, (columns, filled) = np.arange(len(n)), _columns(regs)
+    while len(rest) > 1:
+        joined, ends, others = [rest[0]], [], []
+        rest, columns, filled = rest[1:], columns[:, 1:], filled[1:]
+        while joined and len(rest):
+            own = joined.pop()
+            at = _may_reach(regs[own], columns, filled)
+            if not len(at):
+                continue
+            near = estimate(regs[own : own + 1], regs[rest[at]], n[own : own + 1], n[rest[at]])
+            sure, maybe = at[near >= HIGH], rest[at[(near >= LOW) & (near < HIGH)]]
+            ends.append(np.full(len(maybe), own))
+            others.append(maybe)
+            if len(sure):
+                left.append(np.full(len(sure), own))
+                right.append(rest[sure])
+                joined.extend(rest[sure].tolist())
+                stays = np.ones(len(rest), bool)
+                stays[sure] = False
+                rest, columns, filled = rest[stays], columns[:, stays], filled[stays]
+        if ends:
+            apart = np.isin(np.concatenate(others), rest)
+            left.append(np.concatenate(ends)[apart])
+            right.append(np.concatenate(others)[apart])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _elect(begin: np.ndarray, size: np.ndarray, regs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of lists of texts that lie together: places of both ends of each."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     two = begin[size == 2]
     for i in range(0, len(two), 8192):
         at = two[i : i + 8192]
-        a, b = row[at], row[at + 1]
-        near = estimate(regs[a], regs[b], n[a], n[b])
+        near = estimate(regs[at], regs[at + 1], n[at], n[at + 1])
         left.append(at[near >= LOW])
         right.append(at[near >= LOW] + 1)
-        stays[at[near >= HIGH] + 1] = False
     for b, m in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-        rest = np.arange(b, b + m)
-        while len(rest) > 1:
-            lead, rest = rest[0], rest[1:]
-            own = row[lead : lead + 1]
-            near = np.concatenate([estimate(regs[own], regs[row[x]], n[own], n[row[x]]) for x in np.array_split(rest, -(-len(rest) // 8192))])
-            left.append(np.full(int((near >= LOW).sum()), lead))
-            right.append(rest[near >= LOW])
-            stays[rest[near >= HIGH]] = False
-            rest = rest[near < HIGH]
-    return np.concatenate(left), np.concatenate(right), stays
+        x, y = _links(regs[b : b + m], n[b : b + m])
+        left.append(x + b)
+        right.append(y + b)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,56 +203,42 @@ def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, lead, node): the bands of each text, with no lead, less those where a leader of the batch is close; and the batch's own links."""
+    """(band, node): the bands of each text."""
     salt = np.array([K.mix_int(i + 1) for i in range(BANDS)], np.uint64)
     for batch in batches:
         for i in range(0, len(batch), 4096):
             part = batch.slice(i, 4096)
             node, first = np.unique(part.column(0).to_numpy(), return_index=True)
-            regs, n = _matrix(part.column(2))[first], part.column(1).to_numpy()[first]
-            split = regs.reshape(len(node), BANDS, ROWS)
+            split = _matrix(part.column(1))[first].reshape(len(node), BANDS, ROWS)
             # A band of empty registers says nothing.
             some = (split != EMPTY).any(2)
             key = K.mix(np.ascontiguousarray(split).view(np.uint64).reshape(len(node), BANDS) + salt)[some].view(np.int64)
-            row = np.repeat(np.arange(len(node)), some.sum(1))
-            order = np.lexsort((row, key))  # nodes are in order, so rows are too
-            key, row = key[order], row[order]
-            a, b, stays = _elect(row, *_runs_of(key), regs, n)
-            links, at = np.unique(np.stack([row[a], row[b]], 1), axis=0, return_index=True)
-            bands = np.r_[key[stays], key[a][at]]
-            lead = pa.array(np.r_[np.zeros(int(stays.sum()), np.int64), node[links[:, 0]]], mask=np.r_[np.ones(int(stays.sum()), bool), np.zeros(len(links), bool)])
-            yield pa.record_batch([pa.array(bands), lead, pa.array(np.r_[node[row[stays]], node[links[:, 1]]])], ["band", "lead", "node"])
+            yield pa.record_batch([pa.array(key), pa.array(np.repeat(node, some.sum(1)))], ["band", "node"])
         K.tidy()
 
 
-def _listed(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray, parent: np.ndarray | None, linked: bool) -> pa.RecordBatch:
-    """Rows (list, parent, linked, nodes) of runs of nodes; lists of the same nodes have the same number."""
+def _listed(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray, parent: np.ndarray | None) -> pa.RecordBatch:
+    """Rows (list, parent, linked, nodes) of runs of nodes, none of which is linked yet; lists of the same nodes have the same number."""
     flat = pa.array(nodes[np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)])
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), flat)
     upto = np.r_[np.uint64(0), np.cumsum(K.mix(nodes.view(np.uint64)), dtype=np.uint64)]
-    number = K.mix(upto[begin + size] - upto[begin] + size.astype(np.uint64) * np.uint64(2) + np.uint64(linked))
+    number = K.mix(upto[begin + size] - upto[begin] + size.astype(np.uint64) * np.uint64(2))
     if parent is not None:
         number = K.mix(number ^ parent.view(np.uint64))
     parents = pa.nulls(len(begin), pa.int64()) if parent is None else pa.array(parent)
-    return pa.record_batch([pa.array(number.view(np.int64)), parents, pa.array(np.full(len(begin), linked)), lists], ["list", "parent", "linked", "nodes"])
+    return pa.record_batch([pa.array(number.view(np.int64)), parents, pa.array(np.zeros(len(begin), bool)), lists], ["list", "parent", "linked", "nodes"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by band and node: lists of the texts of each band, in blocks of BLOCK whose parent is the band where it has more; and the links, as they are."""
+    """Rows come sorted by band and node: lists of the texts of each band, in blocks of BLOCK whose parent is the band where it has more."""
     held, cut = np.zeros((2, 0), np.int64), False
 
     def blocks(band: int, nodes: np.ndarray) -> pa.RecordBatch:
         begin = np.arange(0, len(nodes), BLOCK)
-        return _listed(nodes, begin, np.minimum(BLOCK, len(nodes) - begin), np.full(len(begin), band), False)
+        return _listed(nodes, begin, np.minimum(BLOCK, len(nodes) - begin), np.full(len(begin), band))
 
     for batch in batches:
-        alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        if not alone.all():
-            linked = pc.filter(batch, pa.array(~alone))
-            ends = np.stack([linked.column(1).to_numpy(), linked.column(2).to_numpy()], 1).reshape(-1)
-            yield _listed(ends, np.arange(0, len(ends), 2), np.full(len(ends) // 2, 2), None, True)
-        rows = pc.filter(batch, pa.array(alone))
-        new = np.concatenate([held, np.stack([rows.column(0).to_numpy(), rows.column(2).to_numpy()])], 1)
+        new = np.concatenate([held, np.stack([batch.column("band").to_numpy(), batch.column("node").to_numpy()])], 1)
         # Equal texts of different batches are one.
         new = new[:, np.r_[True, (new[:, 1:] != new[:, :-1]).any(0)]] if new.shape[1] else new
         begin, size = _runs_of(new[0])
@@ -229,7 +253,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield blocks(int(new[0, b]), new[1, b : b + m])
         use = (size > 1) & (size <= BLOCK)
         if use.any():
-            yield _listed(new[1, :last], begin[use], size[use], None, False)
+            yield _listed(new[1, :last], begin[use], size[use], None)
         full = held.shape[1] // BLOCK * BLOCK
         K.tidy()
         # The last node is kept, so that its copies in the next batch are still known.
@@ -241,7 +265,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held.shape[1] and cut:
         yield blocks(int(held[0, 0]), held[1])
     elif held.shape[1] > 1:
-        yield _listed(held[1], np.zeros(1, np.int64), np.array([held.shape[1]]), None, False)
+        yield _listed(held[1], np.zeros(1, np.int64), np.array([held.shape[1]]), None)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,44 +287,33 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by list, of at most BLOCK texts: their links, and for lists with a parent the texts that stay, with no lead."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by list, of at most BLOCK texts: their links."""
     for batch in _grouped(batches):
-        key, node, n = (batch.column(i).to_numpy() for i in (0, 2, 3))
-        parent, regs = batch.column(1), _matrix(batch.column(4))
-        a, b, stays = _elect(np.arange(len(key)), *_runs_of(key), regs, n)
-        more = np.flatnonzero(stays & parent.is_valid().to_numpy(zero_copy_only=False))
-        lead = pa.array(np.r_[node[a], np.zeros(len(more), np.int64)], mask=np.r_[np.zeros(len(a), bool), np.ones(len(more), bool)])
-        up = pa.concat_arrays([pa.nulls(len(a), pa.int64()), parent.take(pa.array(more))])
-        yield pa.record_batch([up, lead, pa.array(np.r_[node[b], node[more]])], ["parent", "lead", "node"])
+        key, node, n = (batch.column(i).to_numpy() for i in range(3))
+        a, b = _elect(*_runs_of(key), _matrix(batch.column(3)), n)
+        yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], ["lead", "node"])
         K.tidy()
 
 
-def _last_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by parent, the leaders of its blocks: their links. Only those that are far from each other are held."""
-    now, lead_node, lead_n, lead_regs = None, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, BUCKETS), np.uint16)
-    for batch in batches:
-        key, node, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
-        regs = _matrix(batch.column(3))
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by task and side: links of texts of sides 0 and 1, or of all of side 2, whose lists and roots differ."""
+    for batch in _grouped(batches):
+        key, side, block, root, node, n = (batch.column(i).to_numpy() for i in range(6))
+        regs = _matrix(batch.column(6))
         for begin, size in zip(*_runs_of(key)):
-            if key[begin] != now:
-                now, lead_node, lead_n, lead_regs = key[begin], lead_node[:0], lead_n[:0], lead_regs[:0]
-            rest = np.arange(begin, begin + size)
-            left, right = [], []
-            for k in range(len(lead_node)):
-                near = estimate(lead_regs[k : k + 1], regs[rest], lead_n[k : k + 1], n[rest])
-                left.append(np.full(int((near >= LOW).sum()), lead_node[k]))
-                right.append(node[rest[near >= LOW]])
-                rest = rest[near < HIGH]
-                if not len(rest):
-                    break
-            one = np.zeros(min(1, len(rest)), np.int64)
-            a, b, stays = _elect(rest, one, one + len(rest), regs, n)
-            left.append(node[rest[a]])
-            right.append(node[rest[b]])
-            new = rest[stays]
-            lead_node, lead_n, lead_regs = np.r_[lead_node, node[new]], np.r_[lead_n, n[new]], np.concatenate([lead_regs, regs[new]])
-            yield pa.record_batch([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], ["lead", "node"])
+            at = np.arange(begin, begin + size)
+            one, other = at[side[at] != 1], at[side[at] != 0]
+            columns, filled = _columns(regs[other])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for own in one.tolist():
+                to = other[_may_reach(regs[own], columns, filled)]
+                to = to[(root[to] != root[own]) & (block[to] != block[own]) & ((side[to] == 1) | (to > own))]
+                if len(to):
+                    to = to[estimate(regs[own : own + 1], regs[to], n[own : own + 1], n[to]) >= LOW]
+                    left.append(np.full(len(to), node[own]))
+                    right.append(node[to])
+            yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["lead", "node"])
         K.tidy()
 
 
@@ -333,27 +346,41 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["lead", "node", "jaccard"])
 
 
-def candidate_pairs(nodes: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(lead, node), materialised: the links of all elections. nodes has (node, n, regs) once for each text."""
-    bands = sketched.select("node", "n", "regs").mapInArrow(_bands, "band long, lead long, node long")
+def candidate_pairs(nodes: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lead, node), the links within lists, and (parent, block, node), the lists of bands that have several; both materialised. nodes has (node, n, regs) once for each text."""
+    bands = sketched.select("node", "regs").mapInArrow(_bands, "band long, node long")
     lists = bands.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_lists, "list long, parent long, linked boolean, nodes array<long>")
-    lists = materialise(lists.dropDuplicates(["list"]))
-    linked = lists.where("linked").select(F.element_at("nodes", 1).alias("lead"), F.element_at("nodes", 2).alias("node"))
-    sized = lists.where("NOT linked").select("list", "parent", F.explode("nodes").alias("node")).join(nodes, "node").select("list", "parent", "node", "n", "regs")
-    # One order of nodes for all lists: near copies then share their leader wherever they meet.
-    told = materialise(sized.repartition("list").sortWithinPartitions("list", "node").mapInArrow(_leaders, "parent long, lead long, node long"))
-    pairs = linked.union(told.where("lead IS NOT NULL").select("lead", "node"))
-    again = told.where("parent IS NOT NULL").select("parent", "node").distinct()
-    if not again.isEmpty():
-        sized = again.join(nodes, "node").select("parent", "node", "n", "regs")
-        pairs = pairs.union(sized.repartition("parent").sortWithinPartitions("parent", "node").mapInArrow(_last_leaders, "lead long, node long"))
-    return materialise(pairs.where("lead != node").distinct())
+    lists = materialise(lists.drop("linked").dropDuplicates(["list"]))
+    sized = lists.select("list", F.explode("nodes").alias("node")).join(nodes, "node").select("list", "node", "n", "regs")
+    # One order of nodes for all lists: near copies then meet the same first text wherever they are.
+    pairs = sized.repartition("list").sortWithinPartitions("list", "node").mapInArrow(_compared, "lead long, node long")
+    return materialise(pairs.distinct()), lists.where("parent IS NOT NULL").select("parent", F.col("list").alias("block"), F.explode("nodes").alias("node"))
 
 
-def verified_pairs(docs: DataFrame, sketched: DataFrame, clash: DataFrame | None = None) -> DataFrame:
-    """(u, v, jaccard): nodes whose exact shingle Jaccard reaches THRESHOLD."""
-    worded = sketched.where("n > 0")
-    edges = candidate_pairs(worded.groupBy("node").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), worded)
+def pairs_across(nodes: DataFrame, cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """(lead, node), materialised: the links across the lists (parent, block, node) of one band, between texts of different roots.
+
+    A root with SPAN texts in a band has spans of its own, which aren't compared with each other.
+    """
+    rooted = materialise(cut.join(roots, "node", "left").select("parent", "block", "node", F.coalesce("root", "node").alias("root")))
+    each = rooted.groupBy("parent", "root").agg(F.count("*").alias("rows"), (F.count("*") >= SPAN).alias("large"))
+    several = each.groupBy("parent").agg(F.count("*").alias("roots")).where("roots > 1").select("parent")
+    each = each.join(several, "parent").select("parent", "root", "rows", "large", F.when(F.col("large"), F.col("root")).otherwise(0).alias("own"))
+    parts = each.groupBy("parent", "large", "own").agg(F.ceil(F.sum("rows") / SPAN).cast("int").alias("parts"))
+    placed = materialise(each.drop("rows").join(parts, ["parent", "large", "own"]))
+    spans = placed.select("parent", "large", "own", "parts").distinct().select("parent", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "large", "own").select("parent", F.struct("large", "own", "part").alias("span"))
+    two = spans.withColumnRenamed("span", "a").join(spans.withColumnRenamed("span", "b"), "parent").where("a <= b AND NOT (a.large AND b.large AND a.own = b.own)")
+    task = F.xxhash64("parent", "a", "b").alias("task")
+    same = F.col("a") == F.col("b")
+    ends = two.select("parent", F.col("a").alias("span"), task, F.when(same, 2).otherwise(0).alias("side")).union(two.where(~same).select("parent", F.col("b").alias("span"), task, F.lit(1).alias("side")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = rooted.join(placed, ["parent", "root"]).select("parent", "block", "root", "node", F.struct("large", "own", part.alias("part")).alias("span")).join(nodes, "node")
+    sent = rows.join(materialise(ends), ["parent", "span"]).select("task", "side", "block", "root", "node", "n", "regs")
+    return materialise(sent.repartition("task").sortWithinPartitions("task", "side").mapInArrow(_across, "lead long, node long").distinct())
+
+
+def _verified(docs: DataFrame, edges: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """(u, v, jaccard), materialised: edges (lead, node) whose exact shingle Jaccard reaches THRESHOLD."""
     need = materialise(edges.select(F.explode(F.array("lead", "node")).alias("node")).distinct())
     keyed = with_nodes(docs.where("text IS NOT NULL").select(content_key(F.col("text")).alias("content"), _other_key(F.col("text")).alias("other"), F.col("text").cast("string").alias("text")), clash)
     texts = join_checked(keyed, need, ["node"], "left_semi", 48).groupBy("node").agg(F.first("text").alias("text"))
@@ -364,7 +391,19 @@ def verified_pairs(docs: DataFrame, sketched: DataFrame, clash: DataFrame | None
     cut = edges.withColumn("part", F.lit(0)) if hot.isEmpty() else join_checked(edges, hot, ["lead"], "left", 56).select("lead", "node", spread.alias("part"))
     others = cut.join(texts, "node").select("lead", "part", "node", "text")
     streams = own.union(others).repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("node").asc_nulls_first()).select("lead", "node", "text")
-    return streams.mapInArrow(_jaccard, "lead long, node long, jaccard double").where(F.col("jaccard") >= THRESHOLD).select(F.col("lead").alias("u"), F.col("node").alias("v"), "jaccard")
+    return materialise(streams.mapInArrow(_jaccard, "lead long, node long, jaccard double").where(F.col("jaccard") >= THRESHOLD).select(F.col("lead").alias("u"), F.col("node").alias("v"), "jaccard"))
+
+
+def verified_pairs(docs: DataFrame, sketched: DataFrame, clash: DataFrame | None = None) -> DataFrame:
+    """(u, v, jaccard): nodes whose exact shingle Jaccard reaches THRESHOLD, as many as join all texts that such pairs join."""
+    worded = sketched.where("n > 0")
+    nodes = worded.groupBy("node").agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
+    edges, cut = candidate_pairs(nodes, worded)
+    found = _verified(docs, edges, clash)
+    if cut.isEmpty():
+        return found
+    more = pairs_across(nodes, cut, components(found))
+    return found if more.isEmpty() else found.union(_verified(docs, more, clash))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -82,6 +82,51 @@ def test_triples_against_the_shortcut(spark):
     assert sum(len({got[3 * k + i] for i in range(3)}) == 1 for k in range(40)) >= 38
 
 
+def test_links_to_one_that_is_close_to_many_others(spark, monkeypatch):
+    """c is alike (0.55) to b only, which in every band meets texts 0.78 alike to it and to c under the threshold; also where the band is cut to lists and spans."""
+    draw = random.Random(5)
+    fresh = lambda n: [f"w{draw.randrange(10**8)}" for _ in range(n)]
+    rows, ends = [], []
+    for _ in range(12):
+        b = fresh(150)
+        c = b[:107] + fresh(43)
+        near = []
+        for _ in range(40):
+            at = draw.randrange(88)
+            near.append(b[:at] + fresh(16) + b[at + 16 :])
+        ends.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((b, c, *near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = groups(docs)
+    whole = [got[b] == got[c] for b, c in ends]
+    assert sum(whole) >= 11
+    assert len(set(got.values())) == 12 + whole.count(False)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SPAN", 8)
+    assert groups(docs) == got
+
+
+def test_no_link_is_lost_within_a_list():
+    """The links join what all pairs of estimates from LOW on join, though they are fewer."""
+    draw = random.Random(3)
+    texts = [[f"w{draw.randrange(10**8)}" for _ in range(120)]]
+    for k in range(1, 200):
+        texts.append([f"w{draw.randrange(10**8)}" if draw.random() < (0.02, 0.07, 0.1, 1)[k % 4] else w for w in texts[draw.randrange(k)]])
+    regs, n = minhash.registers(pa.array([" ".join(t) for t in texts]))
+
+    def joined(pairs):
+        root = list(range(len(texts)))
+        for a, b in pairs:
+            old, new = root[b], root[a]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
+
+    every = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if minhash.estimate(regs[i : i + 1], regs[j : j + 1], n[i : i + 1], n[j : j + 1])[0] >= minhash.LOW]
+    found = list(zip(*(x.tolist() for x in minhash._links(regs, n))))
+    assert {tuple(sorted(p)) for p in found} <= set(every) and len(found) < len(every)
+    assert joined(found) == joined(every) and len(joined(every)) > 20
+
+
 def test_texts_of_one_64_bit_key_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(minhash, "content_key", lambda c: F.when(c.isNotNull(), F.pmod(F.xxhash64(F.md5(c)), F.lit(3))))
     words = [[f"v{k}w{i}" for i in range(30)] for k in range(12)]
