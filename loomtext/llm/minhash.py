@@ -229,13 +229,14 @@ def _listed(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray, parent: np.n
     return pa.record_batch([pa.array(number.view(np.int64)), parents, pa.array(np.zeros(len(begin), bool)), lists], ["list", "parent", "linked", "nodes"])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by band and node: lists of the texts of each band, in blocks of BLOCK whose parent is the band where it has more."""
+def _lists(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by band and node: lists of the texts of each band, in blocks of most (BLOCK) whose parent is the band where it has more."""
+    most = most or BLOCK
     held, cut = np.zeros((2, 0), np.int64), False
 
     def blocks(band: int, nodes: np.ndarray) -> pa.RecordBatch:
-        begin = np.arange(0, len(nodes), BLOCK)
-        return _listed(nodes, begin, np.minimum(BLOCK, len(nodes) - begin), np.full(len(begin), band))
+        begin = np.arange(0, len(nodes), most)
+        return _listed(nodes, begin, np.minimum(most, len(nodes) - begin), np.full(len(begin), band))
 
     for batch in batches:
         new = np.concatenate([held, np.stack([batch.column("band").to_numpy(), batch.column("node").to_numpy()])], 1)
@@ -249,16 +250,16 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut and len(begin):
             yield blocks(int(new[0, 0]), new[1, : size[0]])
             begin, size, cut = begin[1:], size[1:], False
-        for b, m in zip(begin[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
+        for b, m in zip(begin[size > most].tolist(), size[size > most].tolist()):
             yield blocks(int(new[0, b]), new[1, b : b + m])
-        use = (size > 1) & (size <= BLOCK)
+        use = (size > 1) & (size <= most)
         if use.any():
             yield _listed(new[1, :last], begin[use], size[use], None)
-        full = held.shape[1] // BLOCK * BLOCK
+        full = held.shape[1] // most * most
         K.tidy()
         # The last node is kept, so that its copies in the next batch are still known.
         if full == held.shape[1]:
-            full -= BLOCK
+            full -= most
         if full > 0:
             yield blocks(int(held[0, 0]), held[1, :full])
             held, cut = held[:, full:], True
@@ -349,7 +350,8 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(nodes: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lead, node), the links within lists, and (parent, block, node), the lists of bands that have several; both materialised. nodes has (node, n, regs) once for each text."""
     bands = sketched.select("node", "regs").mapInArrow(_bands, "band long, node long")
-    lists = bands.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_lists, "list long, parent long, linked boolean, nodes array<long>")
+    # BLOCK as it is here: workers have a module of their own.
+    lists = bands.repartition("band").sortWithinPartitions("band", "node").mapInArrow(lambda batches, most=BLOCK: _lists(batches, most), "list long, parent long, linked boolean, nodes array<long>")
     lists = materialise(lists.drop("linked").dropDuplicates(["list"]))
     sized = lists.select("list", F.explode("nodes").alias("node")).join(nodes, "node").select("list", "node", "n", "regs")
     # One order of nodes for all lists: near copies then meet the same first text wherever they are.

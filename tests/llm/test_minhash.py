@@ -106,6 +106,22 @@ def test_links_to_one_that_is_close_to_many_others(spark, monkeypatch):
     assert groups(docs) == got
 
 
+def test_spans_compare_all_that_lists_left_apart(spark, monkeypatch):
+    """A band of 60 texts in lists of 7 and spans of 8: all pairs of different lists and roots that may be alike, each once."""
+    monkeypatch.setattr(minhash, "SPAN", 8)
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(10**8)}" for _ in range(100)]
+    texts = [" ".join(f"w{draw.randrange(10**8)}" if draw.random() < 0.06 * (k % 3) else w for w in base) for k in range(60)]
+    regs, n = minhash.registers(pa.array(texts))
+    block, root = [k // 7 for k in range(60)], [1000 if k % 5 < 2 else 2000 + k % 4 if k % 5 == 2 else k for k in range(60)]
+    nodes = spark.createDataFrame([(k, int(n[k]), regs[k].tobytes()) for k in range(60)], "node long, n int, regs binary")
+    cut = spark.createDataFrame([(p, 100 * p + block[k], k) for p in (1, 2) for k in range(60) if p == 1 or root[k] == 1000], "parent long, block long, node long")
+    roots = spark.createDataFrame([(k, root[k]) for k in range(60) if root[k] != k], "node long, root long")
+    got = [tuple(sorted(r)) for r in minhash.pairs_across(nodes, cut, roots).collect()]
+    want = {(i, j) for i, j in combinations(range(60), 2) if block[i] != block[j] and root[i] != root[j] and minhash.estimate(regs[i : i + 1], regs[j : j + 1], n[i : i + 1], n[j : j + 1])[0] >= minhash.LOW}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_no_link_is_lost_within_a_list():
     """The links join what all pairs of estimates from LOW on join, though they are fewer."""
     draw = random.Random(3)
