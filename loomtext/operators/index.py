@@ -18,6 +18,10 @@ from loomtext.functions.text import token_count
 from loomtext.sources.tables import lean
 
 
+#: Text of one task where terms are counted: its hash tables need some twenty times as much.
+TERM_BYTES = 8 << 20
+
+
 def has_text(column: Column, trim: bool = False) -> Column:
     """Not null and not empty; with trim, blanks at the ends don't count as text."""
     return column.isNotNull() & ((F.btrim(column, F.lit(" ")) if trim else column) != "")
@@ -36,14 +40,21 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.select(F.xxhash64(F.col("source_id").cast("string"), F.col("chunk_index"), F.col("content")).alias("id"), "*")
 
 
-def term_counts(table: DataFrame, spread: bool = True, words: DataFrame | None = None) -> DataFrame:
+def parts_of(table: DataFrame) -> int:
+    """Tasks for what groups by id and term, by the text there is; one for each core at least."""
+    size = table.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    return max(size // TERM_BYTES + 1, table.sparkSession.sparkContext.defaultParallelism)
+
+
+def term_counts(table: DataFrame, spread: bool = True, words: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(id, token_count, term, tf), of all terms or those in words(term).
 
-    With spread the text is first shuffled by id, so what groups by id later stays in place;
-    without, counts are combined before they are shuffled.
+    With spread the text is first shuffled by id into parts, so what groups by id later stays
+    in place and a task's hash tables don't grow with the text; without, counts are combined
+    before they are shuffled.
     """
     slim = table.select("id", "content", "token_count")
-    slim = slim.repartition("id") if spread else slim
+    slim = slim.repartition(parts or parts_of(slim), "id") if spread else slim
     each = slim.select("id", "token_count", F.explode(bm25.tokens(F.col("content"))).alias("term"))
     if words is not None:
         each = each.join(words, "term", "left_semi").select("id", "token_count", "term")
@@ -80,7 +91,11 @@ def doc_vectors(table: DataFrame, config: EngineConfig | None = None, freqs: Dat
     config = config or EngineConfig()
     freqs = doc_freqs(table) if freqs is None else freqs
     known = freqs.select("term", "doc_freq", bm25.term_dim(F.col("term")).alias("dim"))
-    counted = term_counts(table).join(known, "term", "inner" if only else "left")
+    parts = parts_of(table)
+    counted = term_counts(table, parts=parts)
+    if not only:  # else known is a query's few terms
+        counted, known = counted.repartition(parts, "term"), known.repartition(parts, "term")
+    counted = counted.join(known, "term", "inner" if only else "left")
     if stats is None:
         counted = counted.crossJoin(F.broadcast(corpus_stats(table)))  # one row
     else:
@@ -88,7 +103,8 @@ def doc_vectors(table: DataFrame, config: EngineConfig | None = None, freqs: Dat
     length = F.greatest(F.col("token_count"), F.lit(1))
     w = bm25.weight(bm25.idf(F.col("n"), F.col("doc_freq")), F.col("tf"), length, F.col("avg_len"), config.bm25_k1, config.bm25_b)
     scored = counted.select("id", F.coalesce("dim", bm25.term_dim(F.col("term"))).alias("dim"), w.alias("w")).where("w > 0")
-    return scored.groupBy("id", "dim").agg(F.round(F.sum("w"), 6).alias("w")).where("w > 0")
+    # What groups by id later stays in place here, too.
+    return scored.repartition(parts, "id").groupBy("id", "dim").agg(F.round(F.sum("w"), 6).alias("w")).where("w > 0")
 
 
 def query_vector(table: DataFrame, query: str, config: EngineConfig | None = None, freqs: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
