@@ -70,29 +70,29 @@ def keyword_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("rank", F.row_number().over(by)).where("rank <= 5").select("item_id", "rank", "id", "score")
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, alpha: float, asked: search.Asked | None = None) -> DataFrame:
-    rows = _chunks(spark, sf_dir)
-    asked = search.ask(doc_chunks(spark, sf_dir), QUERY) if asked is None else asked
-    return search.hybrid(rows, search.scored(rows, asked), _query(spark, sf_dir), K, alpha)
-
-
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir, 0.7).select("source_id", "chunk", "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score"))
+    docs = doc_chunks(spark, sf_dir)
+    found = search.hybrid(_chunks(spark, sf_dir), search.scored(docs, search.ask(docs, QUERY)), _query(spark, sf_dir), K, 0.7)
+    return found.select("source_id", "chunk", "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def hybrid_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir)
-    found = search.hybrid_simple(rows, search.scored(rows, search.ask(doc_chunks(spark, sf_dir), QUERY)), _query(spark, sf_dir), K)
+    docs = doc_chunks(spark, sf_dir)
+    found = search.hybrid_simple(_chunks(spark, sf_dir), search.scored(docs, search.ask(docs, QUERY)), _query(spark, sf_dir), K)
     return found.select("source_id", "chunk", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = search.ask(doc_chunks(spark, sf_dir), QUERY)
-    parts = [_hybrid(spark, sf_dir, a, asked).select(F.lit(a).alias("alpha"), "source_id", "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score")) for a in (0.0, 0.3, 0.7, 1.0)]
-    out = parts[0]
+    """The lists are the same for each alpha, so their few rows are worked out once."""
+    docs = doc_chunks(spark, sf_dir)
+    found = search.lists(_chunks(spark, sf_dir), search.scored(docs, search.ask(docs, QUERY)), _query(spark, sf_dir), K)
+    dense, sparse = (spark.createDataFrame(x.toArrow()) for x in found)
+    parts = [search.fused(dense, sparse, a).orderBy(F.desc("rrf_score"), "id").limit(K).withColumn("alpha", F.lit(a)) for a in (0.0, 0.3, 0.7, 1.0)]
+    best = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
-    return out
+        best = best.union(p)
+    told = docs.select("id", "source_id").join(F.broadcast(best), "id")
+    return told.select("alpha", F.col("source_id").cast("string").alias("source_id"), "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
