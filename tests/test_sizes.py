@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from loomtext.operators import index
+from loomtext.config import EngineConfig
+from loomtext.operators import changes, index
+from loomtext.operators.engine import Engine
 
 
 def _documents(spark, folder):
@@ -26,3 +28,16 @@ def test_sweep_ranks_once(spark, tmp_path):
     found = __spark_entry__.queries()["hybrid_alpha_sweep"](spark, str(tmp_path))
     assert found.count() == 40
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_first_backfill_compares_with_nothing(spark, tmp_path, monkeypatch):
+    def upsert(*args):
+        raise AssertionError("joined with an empty table")
+
+    monkeypatch.setattr(changes, "upsert", upsert)
+    rows = spark.createDataFrame([(1, "alpha"), (2, ""), (3, None), (4, "beta")], "id long, body string")
+    engine = Engine(spark, str(tmp_path / "e"), EngineConfig(provider="hash"), buckets=2)
+    assert engine.enable("docs", rows, "body", "2024-01-01 00:00:00") == 2
+    store = engine.store(engine.find("docs"))
+    assert sorted((r.source_id, r.content, r.embedding) for r in store.read("chunks").collect()) == [(1, "alpha", None), (4, "beta", None)]
+    assert sorted((r.content, r.status, r.metadata) for r in store.read("queue").collect()) == [("alpha", "pending", None), ("beta", "pending", None)]
