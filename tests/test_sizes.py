@@ -41,3 +41,12 @@ def test_first_backfill_compares_with_nothing(spark, tmp_path, monkeypatch):
     store = engine.store(engine.find("docs"))
     assert sorted((r.source_id, r.content, r.embedding) for r in store.read("chunks").collect()) == [(1, "alpha", None), (4, "beta", None)]
     assert sorted((r.content, r.status, r.metadata) for r in store.read("queue").collect()) == [("alpha", "pending", None), ("beta", "pending", None)]
+
+
+def test_benchmark_takes_texts_apart_once(spark, tmp_path):
+    _documents(spark, tmp_path)
+    spark.createDataFrame([(1, "water wb"), (2, "night wc")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = __spark_entry__.queries()["keyword_search_benchmark"](spark, str(tmp_path))
+    assert sorted((r.item_id, r.id) for r in found.collect() if r["rank"] == 1) == [(1, 1), (2, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("FileScan" in line and "doc_id" in line for line in plan.split("\n")) == 1
